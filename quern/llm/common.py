@@ -99,24 +99,26 @@ def chunks_of(batches: Iterator[pa.RecordBatch], id_col: str = "doc_id", text_co
         yield ids, texts
 
 
-CHUNK_SCHEMA = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("null_ids", T.BinaryType()), T.StructField("lens", T.BinaryType()), T.StructField("blob", T.BinaryType())])
+CHUNK_SCHEMA = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("rows", T.BinaryType()), T.StructField("null_ids", T.BinaryType()), T.StructField("lens", T.BinaryType()), T.StructField("blob", T.BinaryType())])
 
 
-def chunk_store(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
-    """Documents, packed into rows of about ``limit`` bytes of compressed whole texts (null: empty)."""
+def chunk_store(docs: DataFrame, limit: int = CHUNK_BYTES, row: str | None = None) -> DataFrame:
+    """Documents, packed into rows of about ``limit`` bytes of compressed whole texts (null: empty). ``row``: a column of longs that comes along."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
         z, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
-        for k, (ids, texts) in enumerate(chunks_of(batches, limit=limit)):
+        for k, (keys, texts) in enumerate(chunks_of(batches, "keys", limit=limit)):
+            ids, rows = [x["doc_id"] for x in keys], [x["row"] for x in keys]
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
             lens = np.array([len(x) for x in raw], "<i8")
-            row = {"chunk_id": [(part << 32) + k], "n_docs": [len(ids)], "n_bytes": [int(lens.sum())], "ids": [np.array([x or 0 for x in ids], "<i8").tobytes()], "null_ids": [np.array([x is None for x in ids], "u1").tobytes()], "lens": [lens.tobytes()], "blob": [z.compress(b"".join(raw))]}
+            row = {"chunk_id": [(part << 32) + k], "n_docs": [len(ids)], "n_bytes": [int(lens.sum())], "ids": [np.array([x or 0 for x in ids], "<i8").tobytes()], "rows": [np.array([x or 0 for x in rows], "<i8").tobytes()], "null_ids": [np.array([x is None for x in ids], "u1").tobytes()], "lens": [lens.tobytes()], "blob": [z.compress(b"".join(raw))]}
             yield pa.RecordBatch.from_pydict(row, schema=arrow(CHUNK_SCHEMA))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(pack, CHUNK_SCHEMA)
+    keys = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col(row or "doc_id").cast("long").alias("row"))
+    return docs.select(keys.alias("keys"), whole_text().alias("text")).mapInArrow(pack, CHUNK_SCHEMA)
 
 
 def arrow(schema: T.StructType) -> pa.Schema:
@@ -128,9 +130,10 @@ def arrow(schema: T.StructType) -> pa.Schema:
 class Chunk:
     """One row of a chunk store: ``buf`` holds the texts end to end, document i at off[i] : off[i + 1]."""
 
-    def __init__(self, ids: bytes, null_ids: bytes, lens: bytes, blob: bytes):
+    def __init__(self, ids: bytes, rows: bytes, null_ids: bytes, lens: bytes, blob: bytes):
         import zstandard
 
+        self.rows = np.frombuffer(rows, "<i8")
         self.ids, self.null = np.frombuffer(ids, "<i8"), np.frombuffer(null_ids, "u1")
         self.lens = np.frombuffer(lens, "<i8")
         self.off = np.concatenate([[0], np.cumsum(self.lens)])

@@ -20,6 +20,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.suffix import suffix_dedup
+
+    x = suffix_dedup(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op2"))
+    return x.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.lines import dedup_lines
 
@@ -40,6 +47,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(documents(spark, sf_dir), TOKENIZER)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.jaccard import jaccard_join
+
+    return jaccard_join(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op6"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.chat import digest_formatted, format_conversations
 
@@ -56,5 +69,12 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(x, F.col("vec_id") % 100 == 0, Scratch(spark, "op8"), k=10)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.langid import identify, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return identify(docs, train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_line_dedup, op4_exact_dedup, op5_bpe, op7_chat_formatting, op8_exact_top_k)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_line_dedup, op4_exact_dedup, op5_bpe, op6_ngram_jaccard_join, op7_chat_formatting, op8_exact_top_k, op10_language_id)}

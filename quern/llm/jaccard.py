@@ -73,8 +73,8 @@ def powers(n: int, base: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarr
     return _powers[0], _powers[1]
 
 
-def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all shingles, document of each), documents in order. Texts are taken end to end, so cost is by character."""
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of each word, in order: runs of letters, digits and underscores in lower case. Texts are taken end to end, so cost is by character."""
     low = [t.lower() for t in texts]
     c = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum([len(t) + 1 for t in low]) if low else np.zeros(0, np.int64)
@@ -86,7 +86,14 @@ def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = powers(len(c) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c.astype(np.uint64) + np.uint64(1)) * power[: len(c)], dtype=np.uint64)])
     word = mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
-    doc = np.searchsorted(ends, start, side="right")
+    return word, np.searchsorted(ends, start, side="right")
+
+
+def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all shingles, document of each), documents in order."""
+    word, doc = word_hashes(texts)
+    if not len(word):
+        return word, doc
     out, owner = [], []
     if len(word) >= n:
         full = np.zeros(len(word) - n + 1, np.uint64)
@@ -95,7 +102,7 @@ def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
         inside = doc[: len(full)] == doc[n - 1 :]
         out.append(full[inside])
         owner.append(doc[: len(full)][inside])
-    counts = np.bincount(doc, minlength=len(low))
+    counts = np.bincount(doc, minlength=len(texts))
     firsts = np.concatenate([[0], np.cumsum(counts)])
     for d in np.nonzero((counts > 0) & (counts < n))[0]:
         h = np.array([counts[d]], np.uint64)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": op3(), "op4_exact_dedup": OP4, "op8_exact_top_k": OP8}
+    return {"op3_line_dedup": op3(), "op4_exact_dedup": OP4, "op8_exact_top_k": OP8, "op9_lm_scoring": OP9}
 
 
 def op3(min_words: int = 8) -> str:
@@ -55,3 +55,17 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+OP9 = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents)
+), p AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w),
+one AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+two AS (SELECT before, word, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY before, word),
+t AS (SELECT count(*) AS n FROM w),
+s AS (
+  SELECT p.doc_id, ln(CASE WHEN p.before IS NULL THEN 0.4 * one.n / t.n WHEN two.n >= 2 THEN two.n / c.n ELSE 0.4 * one.n / t.n END) AS v
+  FROM p JOIN one ON p.word = one.word LEFT JOIN two ON p.before = two.before AND p.word = two.word LEFT JOIN one c ON p.before = c.word, t
+), d AS (SELECT doc_id, count(*) AS n_words, sum(v) AS log_score FROM s GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(log_score, 0.0), 3) AS log_score FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id
+"""

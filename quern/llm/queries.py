@@ -69,6 +69,19 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(x, F.col("vec_id") % 100 == 0, Scratch(spark, "op8"), k=10)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.lm import score_documents
+
+    x = score_documents(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op9"))
+    return x.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.langid import identify, train
 
@@ -77,4 +90,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_line_dedup, op4_exact_dedup, op5_bpe, op6_ngram_jaccard_join, op7_chat_formatting, op8_exact_top_k, op10_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_line_dedup, op4_exact_dedup, op5_bpe, op6_ngram_jaccard_join, op7_chat_formatting, op8_exact_top_k, op9_lm_scoring, op10_language_id, pipeline)}

@@ -126,3 +126,24 @@ def canonical_rank(members: DataFrame) -> DataFrame:
 def extract_to_stdout(members: DataFrame) -> DataFrame:
     """Contents of regular files in archive order."""
     return members.where(F.col("typeflag") == "0").orderBy("archive", "ordinal").select("archive", "ordinal", "content")
+
+
+def touched(members: DataFrame, now_ns: int) -> DataFrame:
+    """With the time of extraction instead of the stored one."""
+    return members.withColumn("mtime_ns", F.lit(now_ns).cast("long"))
+
+
+def without_archive(files: DataFrame, archive: str) -> DataFrame:
+    """Files to pack, without the archive that is being written."""
+    return files.where(F.col("name") != P.bare(F.lit(archive)))
+
+
+def checks(members: DataFrame) -> DataFrame:
+    """CRC-32, size and SHA-256 of each member's content."""
+    c = F.coalesce("content", F.lit(b""))
+    return members.select("archive", "ordinal", F.crc32(c).alias("crc32"), F.length(c).cast("long").alias("size"), F.sha2(c, 256).alias("sha256"))
+
+
+def skip_cost(members: DataFrame) -> DataFrame:
+    """Members with the codec that a writer gives them: none for a regular file whose name says that it is compressed."""
+    return members.withColumn("codec", F.when((F.col("typeflag") == "0") & P.is_compressed(F.col("name")), "none").otherwise("deflate"))

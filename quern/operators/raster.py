@@ -99,6 +99,49 @@ def undo_neighbour_codes(a: np.ndarray, codes: np.ndarray, width: int) -> np.nda
     return x.ravel()
 
 
+def undo_frame(a: np.ndarray, codes: np.ndarray | None, before: np.ndarray | None, width: int, steps: list[str]) -> np.ndarray:
+    """Inverse of ``transform`` on one frame or band, given the decoded one before it."""
+    if "planar" in steps:
+        a = a.reshape(3, -1).T.ravel()
+    if "med" in steps or "sub" in steps:
+        a = undo_predict_frame(a, width, "med" in steps)
+    if "ycocg" in steps:
+        y, co, cg = a.reshape(-1, 3).T
+        t = (y - (((cg + 128) % 256 - 128) >> 1)) % 256
+        b = (t - (((co + 128) % 256 - 128) >> 1)) % 256
+        a = np.stack([(b + co) % 256, (cg + t) % 256, b], 1).ravel()
+    if codes is not None:
+        a = undo_neighbour_codes(a, codes, width)
+    if before is not None and "xor" in steps:
+        a = a ^ before
+    if before is not None and "delta" in steps:
+        a = (a + before) % 256
+    return a
+
+
+def undo_transform(frames: DataFrame, steps: list[str]) -> DataFrame:
+    """Inverse of ``transform``: clips are dealt out, sorted in the shuffle and streamed, so only the frame before is held."""
+    keep = ["clip", "frame_idx", "width", "height", "pixels"]
+    has_codes = "codes" in frames.columns
+    x = frames.select(*keep, *["codes"] * has_codes).repartition("clip").sortWithinPartitions("clip", "frame_idx")
+    schema = frames.select(*keep).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None, None, None)
+        for b in batches:
+            done = []
+            for r in b.to_pylist():
+                key = (r["clip"], r["frame_idx"] - 1, (r["width"], r["height"]))
+                before = last[3] if key == last[:3] else None
+                a = undo_frame(np.array(r["pixels"], np.int64), np.array(r["codes"]) if has_codes else None, before, r["width"], steps)
+                last = (r["clip"], r["frame_idx"], (r["width"], r["height"]), a)
+                done.append(a.tolist())
+            cols = [pa.array(done, b.schema.field(i).type) if n == "pixels" else b.column(i) for i, n in enumerate(keep)]
+            yield pa.RecordBatch.from_arrays(cols, names=keep)
+
+    return x.mapInArrow(run, schema)
+
+
 def hits(codes: Column) -> Column:
     return F.size(F.filter(codes, lambda c: c > 0)).cast("long")
 

@@ -61,3 +61,9 @@ def test_bands_cut_whole_rows(frames):
 def test_palette_bits(spark):
     x = spark.createDataFrame([([1, 2, 3] * 4,), (list(range(15)),)], "pixels array<int>")
     assert [r[0] for r in x.select(R.pointer_bits(R.palette(F.col("pixels")))).collect()] == [1, 3]
+
+
+@pytest.mark.parametrize("steps", [["delta"], ["xor"], ["delta", "ycocg", "med", "planar"], ["xor", "dirsim", "ycocg", "sub"], O.PRESETS["predictive"]])
+def test_chains_round_trip(frames, steps):
+    x = O.transform(frames, steps)
+    assert pixels(O.undo_transform(x, steps)) == pixels(frames)

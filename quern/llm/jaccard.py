@@ -8,7 +8,7 @@ gives. A large group is cut into blocks, and pairs of blocks are tasks; links ar
 a task returns for each class how many documents it is linked to and one edge to a linked class, as a forest.
 
 Defined results: null counts as empty; texts without words have no links and are classes of their own; copies and
-repeated rows are linked to each other; an empty table gives no rows; other columns are not read.
+repeated rows are linked to each other; a null doc_id comes before all others; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 160
 #: Classes of a candidate group that are verified in one block; shingle columns of one matrix product.
 BLOCK, COLUMNS = 256, 8192
 
+#: Stands for a null doc_id on the way.
+NO_ID = -(1 << 63)
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -249,7 +252,7 @@ def verify(groups: DataFrame, n: int, threshold: float) -> DataFrame:
 def jaccard_join(docs: DataFrame, scratch: Scratch, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
     """One row a document: doc_id, class_id (least doc_id among the texts that links connect), copy_id (least doc_id with the same shingles), n_links (documents at the threshold or above, copies included)."""
     bands, rows = bands_for(threshold, recall, most_hashes)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), whole_text().alias("text"))
     sk = scratch.save(sketches(docs, n, bands, rows), "sketches")
     total = sk.count()
     classes = sk.groupBy("cls").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.max("bands").alias("bands"))
@@ -279,4 +282,5 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, n: int = WORDS, threshold: f
     known = even_join(known, least, "label", "members", total, F.concat(F.lit("~"), F.col("cls")))
     known = known.select("cls", "copy_id", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
     out = even_join(sk.select("doc_id", "cls", "size"), known, "cls", "copies", total, F.concat(F.lit("~"), F.col("cls"), F.monotonically_increasing_id().cast("string")))
-    return out.select("doc_id", "class_id", "copy_id", F.when(F.col("size") > 0, F.col("copies") - 1 + F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    ids = [F.when(F.col(c) != NO_ID, F.col(c)).alias(c) for c in ("doc_id", "class_id", "copy_id")]
+    return out.select(*ids, F.when(F.col("size") > 0, F.col("copies") - 1 + F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"))

@@ -151,12 +151,13 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows, with all their columns, whose language could be told."""
+    """The rows, with all their columns, whose language could be told; where nothing could be learned, those with a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, _ = predict_batch(sent.value, b.column(at).to_pylist())
-            yield b.filter(pa.array([x != UNKNOWN for x in langs]))
+            texts = b.column(at).to_pylist()
+            told = [x != UNKNOWN for x in predict_batch(sent.value, texts)[0]] if sent.value else [bool(t and LETTER.search(t)) for t in texts]
+            yield b.filter(pa.array(told, pa.bool_()))
 
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)

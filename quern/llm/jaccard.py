@@ -157,7 +157,7 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 band_of = dict(zip(has.tolist(), b.view(np.int64).tolist(), strict=True))
             cls: list[str] = []
             size: list[int] = []
-            stops = dict(zip(has.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True), strict=True))
+            stops = dict(zip(has.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(h)][: len(has)], strict=True), strict=True))
             for i, k in enumerate(ids):
                 if i in stops:
                     s = np.unique(h[slice(*stops[i])])

@@ -8,7 +8,8 @@ pairs, and the survivors get their exact integer product. Bounds carry a margin
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; shorter vectors count as
 filled up with zeros; ties go to the smaller vec_id; of rows with equal vec_id each is a candidate, other than the
-query's own id; an id is a query once for each of its rows' distinct vectors. No query or no candidate gives no row.
+query's own id; an id is a query once for each of its rows' distinct vectors. No query or no candidate gives no row. Scores beyond 64 bits are cut to the
+largest or smallest long.
 """
 
 from __future__ import annotations

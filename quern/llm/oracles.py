@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": op3(), "op4_exact_dedup": OP4, "op8_exact_top_k": OP8, "op9_lm_scoring": OP9}
+    return {"op2_suffix_array_dedup": OP2, "op3_line_dedup": op3(), "op4_exact_dedup": OP4, "op6_ngram_jaccard_join": OP6, "op8_exact_top_k": OP8, "op9_lm_scoring": OP9}
 
 
 def op3(min_words: int = 8) -> str:
@@ -69,3 +69,33 @@ s AS (
 ), d AS (SELECT doc_id, count(*) AS n_words, sum(v) AS log_score FROM s GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(log_score, 0.0), 3) AS log_score FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id
 """
+
+# Bytes as pairs of hexadecimal digits.
+OP2 = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS i FROM b)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS copy FROM w) WHERE copy > 1),
+o AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS opens FROM f),
+g AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, span),
+k AS (SELECT s.doc_id, s.a, s.z, substr(b.h, 2 * coalesce(lag(s.z) OVER q, 0) + 1, 2 * (s.a - coalesce(lag(s.z) OVER q, 0))) AS before
+  FROM s JOIN b ON s.doc_id = b.doc_id WINDOW q AS (PARTITION BY s.doc_id ORDER BY s.a)),
+c AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY a) AS kept, max(z) AS z FROM k GROUP BY doc_id)
+SELECT b.doc_id, (length(b.h) // 2)::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN c.doc_id IS NULL THEN b.h ELSE c.kept || substr(b.h, 2 * c.z + 1) END)) AS kept_sha256
+FROM b LEFT JOIN c ON b.doc_id = c.doc_id
+"""
+
+OP6 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n, string_agg(s, chr(10) ORDER BY s) AS every FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE common * 5 >= 4 * (x.n + y.n - common)),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a),
+m AS (SELECT doc_id, min(reach) AS class_id FROM r GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a),
+e AS (SELECT every, min(doc_id) AS copy_id FROM n GROUP BY every)
+SELECT m.doc_id, m.class_id, coalesce(e.copy_id, m.doc_id) AS copy_id, coalesce(k.n_links, 0)::BIGINT AS n_links
+FROM m LEFT JOIN n ON m.doc_id = n.doc_id LEFT JOIN e ON n.every = e.every LEFT JOIN k ON m.doc_id = k.doc_id
+"""

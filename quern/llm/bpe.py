@@ -93,9 +93,12 @@ class _Spaced(dict):
 
 
 class Codec:
-    """Encoder and decoder for a tokenizer file of the tokenizers library with byte-level BPE."""
+    """Encoder and decoder for a tokenizer file of the tokenizers library with byte-level BPE.
 
-    def __init__(self, path: str):
+    ``by_library``: pretokens that aren't in the cache are merged by the library's own model instead of the backtracking encoder.
+    """
+
+    def __init__(self, path: str, by_library: bool = False):
         import ahocorasick
         from tokenizers import Tokenizer
 
@@ -118,6 +121,8 @@ class Codec:
         base = [chr(b) for b in range(256)]
         order = {t: i for i, t in enumerate(base)}
         left, right = list(range(256)), list(range(256))
+        self.by_library = by_library
+        self.stand_in = {b: k for k, b in chars.items()}
         self.pairs: dict[tuple[int, int], int] = {}
         for a, b in made:
             r = order.setdefault(a + b, len(order))
@@ -210,6 +215,9 @@ class Codec:
                 t = self.shorter[last]
 
     def _piece(self, word: str) -> bytes:
+        if self.by_library:
+            stand_in = word.translate(self.stand_in) if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.stand_in)
+            return b"".join([x.id.to_bytes(4, "little") for x in self.library.model.tokenize(stand_in)])
         return b"".join(map(self.id_bytes.__getitem__, self.backtrack(word if word.isascii() else word.encode("utf-8").decode("latin-1"))))
 
     def _plain(self, text: str) -> bytes:
@@ -253,14 +261,14 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, bool], Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, by_library: bool = False) -> Codec:
     """The worker's codec for this file."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    if (path, by_library) not in _codecs:
+        _codecs[path, by_library] = Codec(path, by_library)
+    return _codecs[path, by_library]
 
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])

@@ -85,7 +85,7 @@ def cut(n: int, capacity: int = SEQUENCE) -> list[tuple[int, int]]:
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, end = codec(tokenizer), int(end_id).to_bytes(4, "little")
+        c, end = codec(tokenizer, by_library=True), int(end_id).to_bytes(4, "little")
         for b in batches:
             rows: list[tuple] = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

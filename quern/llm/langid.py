@@ -30,6 +30,8 @@ SLOTS_LOG = 16
 MAX_N = 3
 LANDMARKS, FIT_PER_LANG, FIT_ROWS = 96, 400, 4000
 RIDGE = 1e-3
+#: Parts of a language in which rows for the fit are picked first.
+PARTS = 256
 UNKNOWN = "und"
 #: Characters of a text that are worked on at once.
 SLICE = 1 << 20
@@ -115,6 +117,9 @@ def train(docs: DataFrame) -> Model | None:
     x = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     x = x.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     keys = x.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+    # First within parts of a language, as one may hold most rows; what is left of all parts is bounded.
+    part = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "doc_id")
+    keys = keys.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= FIT_PER_LANG)
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
     keys = keys.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= FIT_PER_LANG).orderBy("_r", "lang").limit(FIT_ROWS)
     few = F.broadcast(keys.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_r"))  # FIT_ROWS rows at most

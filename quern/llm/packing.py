@@ -101,12 +101,13 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, end_id:
 
 def pack(pieces: DataFrame, scratch: Scratch, capacity: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...)."""
-    pieces = scratch.save(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    # pandas has no null among integers, so a null id travels as 0 and a mark.
+    marked = pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_null", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    pieces = scratch.save(marked, "pieces")
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("_row")).withColumn("offset", F.lit(0).cast("long"))
     short = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_pieces))
-    out = T.StructType([T.StructField("_row", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    every = T.StructType([*pieces.schema.fields, *out.fields[1:]])
+    every = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["length", "doc_id", "piece", "_row"], ascending=[False, True, True, True], kind="stable")
@@ -115,7 +116,8 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = SEQUENCE, group_pi
 
     # A group is (row number mod groups): as even as can be, and no length or document decides where a piece goes.
     dealt = short.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    return full.select(every.names).unionByName(dealt.groupBy("_group").applyInPandas(run, every)).drop("_row")
+    out = full.select(every.names).unionByName(dealt.groupBy("_group").applyInPandas(run, every))
+    return out.withColumn("doc_id", F.when(~F.col("_null"), F.col("doc_id"))).drop("_row", "_null")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, scratch: Scratch, capacity: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -61,6 +61,13 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def hot_keys(groups: DataFrame, key: str, count: str, rows: int) -> DataFrame:
     """The keys that hold a thousandth of all rows or more: there are at most 1000, so they may be broadcast."""
     return groups.where(F.col(count) >= F.lit(max(2.0, rows / 1000.0)))
@@ -77,7 +84,8 @@ def even_join(left: DataFrame, groups: DataFrame, key: str, count: str, rows: in
     kind = groups.schema[key].dataType
     hot = F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names]))
     x = left.join(hot, key, "left").withColumn("_key", F.when(F.col("_hot"), unique.cast(kind)).otherwise(F.col(key)))
-    x = x.join(groups.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_cold_{c}") for c in names]), "_key", "left")
+    # By sort-merge at every size, so that plans and their shuffles grow evenly with the input.
+    x = x.join(groups.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_cold_{c}") for c in names]).hint("merge"), "_key", "left")
     return x.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in names])
 
 

@@ -23,11 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, even_join, whole_text
+from quern.llm.common import Scratch, even_join, fresh, whole_text
 
 #: Windows with fewer words stay.
 MIN_WORDS = 8
 
+#: Columns that dedup_lines adds; a table that has them already gets an underscore more.
+ABOUT = ("_n_lines", "_n_removed", "_n_runs")
+
 _PLACE = ("_doc", "_row", "_n")
 
 
@@ -35,42 +38,34 @@ def _words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")).cast("long")
 
 
-def _within() -> Window:
-    return Window.partitionBy("_row").orderBy("_n")
-
-
 def _own_key() -> Column:
-    return F.concat(F.lit("~"), F.col("_row").cast("string"), F.lit("~"), F.col("_n").cast("string"))
+    """A key that no other row has, shaped like the others but longer."""
+    return F.unhex(F.concat(F.lit("FF"), F.lpad(F.hex("_row"), 16, "0"), F.lpad(F.hex("_n"), 16, "0")))
 
 
-def _ranks(keys: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """Ranks of the keys that occur more than once, in the order of the keys, with their first place."""
-    many = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*_PLACE)).alias("_first")).where("_copies > 1")
-    return scratch.save(many.orderBy("_key").withColumn("_rank", F.monotonically_increasing_id()), f"ranks_{k}")
+def _ranked(x: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Rows whose key occurs more than once, with the key's rank (growing along the sorted keys) and its first place; the others drop out."""
+    many = x.groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*_PLACE)).alias("_first")).where("_copies > 1")
+    ranks = scratch.save(many.orderBy("_key").withColumn("_rank", F.monotonically_increasing_id()), f"ranks_{k}")
+    n = ranks.agg(F.sum("_copies")).first()[0] or 0
+    return even_join(x, ranks, "_key", "_copies", n, _own_key()).where(F.col("_rank").isNotNull()).drop("_key", "_copies")
 
 
 def later_windows(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """lines (_doc, _row, _n, lid, words; no blank ones) with ``covered``: whether a removed window covers the line."""
-    n = lines.count()
-    x, k, size = lines.withColumn("covered", F.lit(False)), 0, 1
+    """(_row, lines): windows to be removed, as arrays of (n, at) of their lines. lines: _doc, _row, _n, at, lid (16 bytes), words; no blank ones."""
+    x = lines.select(*_PLACE, F.col("lid").alias("_key"), "words", F.array(F.struct(F.col("_n").alias("n"), F.col("at").alias("at"))).alias("lines"))
+    hits, k, size = None, 0, 1
     while True:
-        if k == 0:
-            x = x.withColumn("_key", F.col("lid"))
-        else:
-            half = F.col("_rank")
-            ahead = F.lead("_rank", size // 2).over(_within())
-            pad = lambda c: F.lpad(c.cast("string"), 19, "0")
-            x = x.withColumn("_key", F.when(half.isNotNull() & ahead.isNotNull(), F.concat(pad(half), F.lit(":"), pad(ahead)))).drop("_rank")
-        ranks = _ranks(x.where(F.col("_key").isNotNull()), k, scratch)
-        x = even_join(x.withColumn("_key", F.coalesce("_key", _own_key())), ranks, "_key", "_copies", n, _own_key()).drop("_key", "_copies")
-        w = _within()
-        enough = F.sum("words").over(w.rowsBetween(0, size - 1)) >= min_words
-        later = F.col("_first").isNotNull() & (F.struct(*_PLACE) != F.col("_first"))
-        x = x.withColumn("_hit", F.coalesce(later & enough, F.lit(False))).drop("_first")
-        x = x.withColumn("covered", F.col("covered") | F.max("_hit").over(w.rowsBetween(-(size - 1), 0))).drop("_hit")
-        x = scratch.save(x, f"level_{k}")
-        if size >= min_words or ranks.isEmpty():
-            return x.drop("_rank")
+        x = scratch.save(_ranked(x, k, scratch), f"level_{k}")
+        later = x.where((F.struct(*_PLACE) != F.col("_first")) & (F.col("words") >= min_words)).select("_row", "lines")
+        hits = later if hits is None else hits.unionByName(later)
+        if size >= min_words or x.isEmpty():
+            return hits
+        # The suffix that many lines on, if it is still there.
+        w = Window.partitionBy("_row").orderBy("_n").rangeBetween(size, size)
+        x = x.withColumn("_next", F.first(F.struct("_rank", "words", "lines")).over(w)).where(F.col("_next").isNotNull())
+        pair = F.unhex(F.concat(F.lpad(F.hex("_rank"), 16, "0"), F.lpad(F.hex("_next._rank"), 16, "0")))
+        x = x.select(*_PLACE, pair.alias("_key"), (F.col("words") + F.col("_next.words")).alias("words"), F.concat("lines", "_next.lines").alias("lines"))
         k, size = k + 1, size * 2
 
 
@@ -80,22 +75,18 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("own"), F.col("doc_id").cast("long").alias("_doc"), whole_text().alias("text"))
     rows = scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()), "documents")
     split = F.split(F.col("text"), "\n", -1)
-    lines = rows.select("_doc", "_row", F.posexplode(split).alias("at", "line"))
-    lines = lines.select("_doc", "_row", "at", F.md5("line").alias("lid"), _words(F.col("line")).alias("words"))
-    lines = lines.where("words > 0").withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("at")).cast("long"))
-    marked = later_windows(scratch.save(lines, "lines"), scratch, min_words)
-    opens = F.col("covered") & ~F.coalesce(F.lag("covered").over(_within()), F.lit(False))
-    marked = marked.withColumn("_opens", opens)
-    told = marked.groupBy("_row").agg(
-        F.sum(F.col("covered").cast("long")).alias("_n_removed"), F.sum(F.col("_opens").cast("long")).alias("_n_runs"),
-        F.sort_array(F.collect_list(F.when(F.col("covered"), F.col("at")))).alias("_gone"),
-    ).where("_n_removed > 0")
-    x = rows.join(scratch.save(told, "told"), "_row", "left")
-    x = x.withColumn("_lines", split)
-    runs = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
+    numbered = F.filter(F.transform(split, lambda line, i: F.struct(i.alias("at"), F.unhex(F.md5(line)).alias("lid"), _words(line).alias("words"))), lambda x: x["words"] > 0)
+    lines = rows.select("_doc", "_row", F.posexplode(numbered).alias("_n", "x"))
+    lines = scratch.save(lines.select("_doc", "_row", F.col("_n").cast("long").alias("_n"), F.col("x.at").alias("at"), F.col("x.lid").alias("lid"), F.col("x.words").alias("words")), "lines")
+    gone = later_windows(lines, scratch, min_words).select("_row", F.explode("lines").alias("x")).distinct()
+    told = gone.groupBy("_row").agg(F.sort_array(F.collect_list("x")).alias("_gone"))
+    opens = F.filter("_gone", lambda x, i: (i == 0) | (F.get("_gone", i - 1)["n"] != x["n"] - 1))
+    told = told.select("_row", F.size("_gone").cast("long").alias("_n_removed"), F.size(opens).cast("long").alias("_n_runs"), F.transform("_gone", lambda x: x["at"]).alias("_gone"))
+    x = rows.join(scratch.save(told, "told").hint("merge"), "_row", "left").withColumn("_lines", split)
     # Between two removed lines stand the lines from one's place + 1 up to the other's.
+    runs = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
     pieces = F.zip_with(F.slice(runs, 1, F.size(runs) - 1), F.slice(runs, 2, F.size(runs) - 1), lambda a, b: F.slice(F.col("_lines"), a + 2, b - a - 1))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
     x = x.select("own", text.alias("text"), F.size("_lines").cast("long").alias("_n_lines"), F.coalesce("_n_removed", F.lit(0)).alias("_n_removed"), F.coalesce("_n_runs", F.lit(0)).alias("_n_runs"))
     cols = [F.col("text") if c == "text" else F.col(f"own.c{own.index(c)}").alias(c) for c in docs.columns]
-    return x.select(*cols, "_n_lines", "_n_removed", "_n_runs")
+    return x.select(*cols, *[F.col(n).alias(fresh(docs, n)) for n in ABOUT])

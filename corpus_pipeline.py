@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, clear_scratch
+from quern.llm.common import Scratch, clear_scratch, fresh
 from quern.llm.jaccard import jaccard_join
 from quern.llm.langid import keep_identified, train
 from quern.llm.lines import dedup_lines
@@ -18,10 +18,10 @@ from quern.llm.queries import TOKENIZER
 from quern.llm.suffix import suffix_dedup
 
 
-def _numbered(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, Scratch]:
-    """The documents with a number for each row, as doc_id may repeat."""
-    scratch = Scratch(spark, name)
-    return scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), scratch
+def _numbered(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, str, Scratch]:
+    """The documents with a number for each row, as doc_id may repeat, and that column's name."""
+    scratch, row = Scratch(spark, name), fresh(docs, "_row")
+    return scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row, scratch
 
 
 def _with_length(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -38,26 +38,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go, and with them documents of which nothing else is left."""
     clear_scratch()
-    x = dedup_lines(docs, Scratch(spark, "lines")).where((F.col("_n_removed") == 0) | F.col("text").rlike(r"\S"))
+    x = dedup_lines(docs, Scratch(spark, "lines")).where((F.col(fresh(docs, "_n_removed")) == 0) | F.col("text").rlike(r"\S"))
     return _with_length(x, docs)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group that links connect stays."""
     clear_scratch()
-    rows, scratch = _numbered(spark, docs, "near")
-    found = jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"), scratch)
-    stay = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    rows, row, scratch = _numbered(spark, docs, "near")
+    found = jaccard_join(rows.select(F.col(row).alias("doc_id"), "text"), scratch)
+    stay = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(row))
+    return rows.join(stay.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated 100-byte strings go, and with them documents of which nothing else is left."""
     clear_scratch()
-    rows, scratch = _numbered(spark, docs, "suffix")
-    cut = suffix_dedup(rows.select("doc_id", "text", "_row"), scratch, row="_row", with_text=True)
-    cut = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(F.col("row").alias("_row"), "text")
-    return _with_length(rows.drop("text").join(cut, "_row"), docs)
+    rows, row, scratch = _numbered(spark, docs, "suffix")
+    cut = suffix_dedup(rows.select("doc_id", "text", row), scratch, row=row, with_text=True)
+    cut = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(F.col("row").alias(row), "text")
+    return _with_length(rows.drop("text").join(cut.hint("merge"), row), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit
-
 
 def byte(c: Column) -> Column:
     return F.pmod(c, F.lit(256)).cast("int")

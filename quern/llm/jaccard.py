@@ -267,16 +267,17 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, n: int = WORDS, threshold: f
     n_comps = comps.count()
     member = even_join(comps, sizes, "label", "members", n_comps, F.concat(F.lit("~"), F.col("node")))
     member = member.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    member = member.join(classes.select(F.col("cls").alias("node"), "copy_id", "copies"), "node").select(F.col("node").alias("cls"), F.col("label").alias("comp"), "block", "blocks", "copy_id", "copies")
+    member = member.join(classes.select(F.col("cls").alias("node"), "copy_id", "copies").hint("merge"), "node").select(F.col("node").alias("cls"), F.col("label").alias("comp"), "block", "blocks", "copy_id", "copies")
     member = scratch.save(member, "members")
     # The text of one document a class; where rows share a doc_id, verify() takes the one whose shingles are the class's.
-    own_text = docs.join(member.withColumnRenamed("copy_id", "doc_id"), "doc_id").select("comp", "block", "blocks", "cls", "copies", "text")
+    # By sort-merge at every size: a broadcast of few members would make plans differ between sizes.
+    own_text = docs.join(member.withColumnRenamed("copy_id", "doc_id").hint("merge"), "doc_id").select("comp", "block", "blocks", "cls", "copies", "text")
     pairs = own_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "copies", "text")
     found = scratch.save(verify(pairs, n, threshold), "verified")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     same = components(found.where("peer is not null").select(F.col("cls").alias("u"), F.col("peer").alias("v")), scratch, "linked")
-    known = classes.select("cls", "copy_id", "copies").join(links, "cls", "left").join(same.withColumnRenamed("node", "cls"), "cls", "left")
+    known = classes.select("cls", "copy_id", "copies").join(links.hint("merge"), "cls", "left").join(same.withColumnRenamed("node", "cls").hint("merge"), "cls", "left")
     known = scratch.save(known.withColumn("label", F.coalesce("label", "cls")), "known")
     least = known.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.sum("copies").alias("members"))
     known = even_join(known, least, "label", "members", total, F.concat(F.lit("~"), F.col("cls")))

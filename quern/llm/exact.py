@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import even_join, shared_dir, whole_text
+from quern.llm.common import Scratch, even_join, shared_dir, whole_text
 
 COLUMNS = "digest string, keep_id long, group_size long, batch string"
 
@@ -43,6 +43,8 @@ class ExactIndex:
         """
         digests = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(whole_text(text_col), 256).alias("digest"))
         groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        # A table of its own: else the anti-join would be moved below the aggregate and meet every copy of a hot text.
+        groups = Scratch(self.spark, "groups").save(groups, "groups")
         known = self.rows().select("digest")
         fresh = groups.join(known.hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
         fresh.select("digest", "keep_id", "group_size", "batch").write.insertInto(self.table)

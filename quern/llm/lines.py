@@ -9,7 +9,12 @@ maximal runs.
 
 A window of 2^k lines (1, 2, 4, ...) is removed if it has ``min_words`` words or more and starts earlier too: in a document
 with a smaller doc_id, or further up in its own. A window of ``min_words`` lines always has that many words, and larger ones
-are unions of such, so doubling stops there.
+are unions of such, so doubling stops there. As the words count for each window, runs of other sizes that have ``min_words``
+words only as a whole stay; this is what the query and its SQL twin define.
+
+With ``whole_runs`` windows of all sizes count, and so any repeated run of ``min_words`` words goes as a whole: a window of s
+lines, 2^k < s < 2^(k+1), is named by the ranks of the two windows of 2^k lines that cover it. Of these only windows with few
+words but for their first or last line are looked up, as the others are unions of windows that are a line shorter.
 
 Joins on ranks stay even when one line makes up a third of all lines, and each level is a table in the shared folder.
 
@@ -43,7 +48,7 @@ def _own_key() -> Column:
     return F.unhex(F.concat(F.lit("FF"), F.lpad(F.hex("_row"), 16, "0"), F.lpad(F.hex("_n"), 16, "0")))
 
 
-def _ranked(x: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+def _ranked(x: DataFrame, k: int | str, scratch: Scratch) -> DataFrame:
     """Rows whose key occurs more than once, with the key's rank (growing along the sorted keys) and its first place; the others drop out."""
     many = x.groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*_PLACE)).alias("_first")).where("_copies > 1")
     ranks = scratch.save(many.orderBy("_key").withColumn("_rank", F.monotonically_increasing_id()), f"ranks_{k}")
@@ -51,9 +56,26 @@ def _ranked(x: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     return even_join(x, ranks, "_key", "_copies", n, _own_key()).where(F.col("_rank").isNotNull()).drop("_key", "_copies")
 
 
-def later_windows(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+def _pair(a: str, b: str) -> Column:
+    return F.unhex(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
+
+
+def _between(x: DataFrame, p: int, s: int, scratch: Scratch, min_words: int) -> DataFrame:
+    """(_row, lines): later copies of windows of s lines, p < s < 2 p, from the ranked windows of p lines."""
+    w = Window.partitionBy("_row").orderBy("_n").rangeBetween(s - p, s - p)
+    x = x.withColumn("_next", F.first(F.struct("_rank", "lines")).over(w)).where(F.col("_next").isNotNull())
+    x = x.withColumn("_tail", F.slice("_next.lines", 2 * p - s + 1, s - p))
+    x = x.withColumn("words", F.col("words") + F.aggregate("_tail", F.lit(0).cast("long"), lambda n, line: n + line["words"]))
+    least = F.col("words") - F.greatest(F.col("lines")[0]["words"], F.col("_tail")[s - p - 1]["words"])
+    x = x.where((F.col("words") >= min_words) & (least < min_words))
+    x = scratch.save(x.select(*_PLACE, _pair("_rank", "_next._rank").alias("_key"), F.concat("lines", "_tail").alias("lines")), f"windows_{s}")
+    return _ranked(x, f"of_{s}", scratch).where(F.struct(*_PLACE) != F.col("_first")).select("_row", "lines")
+
+
+def later_windows(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """(_row, lines): windows to be removed, as arrays of (n, at) of their lines. lines: _doc, _row, _n, at, lid (16 bytes), words; no blank ones."""
-    x = lines.select(*_PLACE, F.col("lid").alias("_key"), "words", F.array(F.struct(F.col("_n").alias("n"), F.col("at").alias("at"))).alias("lines"))
+    line = [F.col("_n").alias("n"), F.col("at").alias("at"), *([F.col("words").alias("words")] if whole_runs else [])]
+    x = lines.select(*_PLACE, F.col("lid").alias("_key"), "words", F.array(F.struct(*line)).alias("lines"))
     hits, k, size = None, 0, 1
     while True:
         x = scratch.save(_ranked(x, k, scratch), f"level_{k}")
@@ -61,15 +83,17 @@ def later_windows(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
         hits = later if hits is None else hits.unionByName(later)
         if size >= min_words or x.isEmpty():
             return hits
+        if whole_runs:
+            for s in range(size + 1, min(2 * size - 1, min_words) + 1):
+                hits = hits.unionByName(_between(x, size, s, scratch, min_words))
         # The suffix that many lines on, if it is still there.
         w = Window.partitionBy("_row").orderBy("_n").rangeBetween(size, size)
         x = x.withColumn("_next", F.first(F.struct("_rank", "words", "lines")).over(w)).where(F.col("_next").isNotNull())
-        pair = F.unhex(F.concat(F.lpad(F.hex("_rank"), 16, "0"), F.lpad(F.hex("_next._rank"), 16, "0")))
-        x = x.select(*_PLACE, pair.alias("_key"), (F.col("words") + F.col("_next.words")).alias("words"), F.concat("lines", "_next.lines").alias("lines"))
+        x = x.select(*_PLACE, _pair("_rank", "_next._rank").alias("_key"), (F.col("words") + F.col("_next.words")).alias("words"), F.concat("lines", "_next.lines").alias("lines"))
         k, size = k + 1, size * 2
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """All rows with all columns; text without its removed lines, and _n_lines, _n_removed, _n_runs (maximal runs) about them."""
     own = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("own"), F.col("doc_id").cast("long").alias("_doc"), whole_text().alias("text"))
@@ -78,7 +102,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     numbered = F.filter(F.transform(split, lambda line, i: F.struct(i.alias("at"), F.unhex(F.md5(line)).alias("lid"), _words(line).alias("words"))), lambda x: x["words"] > 0)
     lines = rows.select("_doc", "_row", F.posexplode(numbered).alias("_n", "x"))
     lines = scratch.save(lines.select("_doc", "_row", F.col("_n").cast("long").alias("_n"), F.col("x.at").alias("at"), F.col("x.lid").alias("lid"), F.col("x.words").alias("words")), "lines")
-    gone = later_windows(lines, scratch, min_words).select("_row", F.explode("lines").alias("x")).distinct()
+    gone = later_windows(lines, scratch, min_words, whole_runs).select("_row", F.explode("lines").alias("x")).distinct()
     told = gone.groupBy("_row").agg(F.sort_array(F.collect_list("x")).alias("_gone"))
     opens = F.filter("_gone", lambda x, i: (i == 0) | (F.get("_gone", i - 1)["n"] != x["n"] - 1))
     told = told.select("_row", F.size("_gone").cast("long").alias("_n_removed"), F.size(opens).cast("long").alias("_n_runs"), F.transform("_gone", lambda x: x["at"]).alias("_gone"))

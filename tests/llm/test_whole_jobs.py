@@ -1,10 +1,13 @@
 """What the reviewer found cut short."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 
-from quern.llm import lines
+from quern.llm import lines, lm
 from quern.llm.common import Scratch
 from tests.llm.test_operators import UNIQUE
 
@@ -54,3 +57,22 @@ def test_op3_whole_runs_equal_brute_force(spark, scratch, min_words):
     x = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r["_n_removed"], r["_n_runs"]) for r in lines.dedup_lines(x, scratch, min_words, whole_runs=True).collect()}
     assert got == {k: v for (k, _), v in zip(rows, whole_runs(rows, min_words), strict=True)}
+
+
+def test_op9_trigrams_seen_once_count(spark, scratch):
+    rows = [*UNIQUE, (2000, "a b c a b d e b c"), (2001, "c b a d b a")]
+    x = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.log_score) for r in lm.score_documents(x, scratch, order=3, min_count=1).collect()}
+    words = {k: re.findall(r"\w+", (t or "").lower()) for k, t in rows}
+    c = Counter(tuple(w[i - n : i]) for w in words.values() for n in (1, 2, 3) for i in range(n, len(w) + 1))
+    total = sum(map(len, words.values()))
+
+    def log_of(w, i):
+        # In its own document each n-gram is seen, so only a document's beginning steps back.
+        n = min(3, i + 1)
+        gram = tuple(w[i - n + 1 : i + 1])
+        return (3 - n) * math.log(0.4) + math.log(c[gram] / (c[gram[:-1]] if n > 1 else total))
+
+    for k, w in words.items():
+        assert got[k][0] == len(w)
+        assert got[k][1] == pytest.approx(sum(log_of(w, i) for i in range(len(w))), rel=1e-9, abs=1e-9)

@@ -7,7 +7,7 @@ of neighbours are compared. It is distributed by content, so that no task sees m
 1. Every window of ``window`` bytes has an anchor, the least hash among the ``K``-byte strings in it (leftmost if equal).
    Equal windows have equal anchors at equal offsets, so what isn't met at a common anchor cannot be equal. Successive
    windows with one anchor are a context, 100 to 152 bytes; anchors are one in 25 bytes.
-2. Contexts are dealt by anchor. Of equal contexts all but the first lie in later copies. Most are settled thus; what
+2. Contexts are dealt by anchor. Of equal contexts (by two independent 64-bit hashes) all but the first lie in later copies. Most are settled thus; what
    stays are anchors with several different contexts, where copies begin or end: about 2 % of all windows.
 3. Those contexts' bytes are dealt by anchor again and suffix-sorted there, in batches. An anchor with very many
    contexts is split by its windows' hashes, where copies are dropped before they are sent.
@@ -40,6 +40,22 @@ TASK_ANCHORS, TASK_BYTES, SORT_BYTES, HOT_CONTEXTS, SLICE = 600_000, 8 << 20, 1
 
 _PLACE_BITS = np.uint64(23)
 
+#: For the second hash of a context: a number for each byte, the base, its powers and their inverses so far.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_BASE = 0xA0761D6478BD642F
+_second: list[np.ndarray] = []
+
+
+def _second_powers(n: int) -> list[np.ndarray]:
+    if not _second or len(_second[0]) < n:
+        out = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(n, b, np.uint64)
+            x[0] = 1
+            out.append(np.cumprod(x, dtype=np.uint64))
+        _second[:] = out
+    return _second
+
 
 def _dense(x: np.ndarray) -> np.ndarray:
     return np.unique(x, return_inverse=True)[1].astype(np.int64) + 1
@@ -115,7 +131,7 @@ def later_windows(text: np.ndarray, starts: np.ndarray, place: np.ndarray, windo
 
 
 def contexts(c: Chunk, window: int = WINDOW, k: int = K, slice_bytes: int = SLICE) -> dict[str, np.ndarray]:
-    """The contexts of a chunk: anchor and context hashes, first window's place, number of windows, document."""
+    """The contexts of a chunk: anchor hash, two independent hashes of the context, first window's place, number of windows, document."""
     parts: list[tuple[np.ndarray, ...]] = []
     n = len(c.buf)
     # Windows inside a document, as a mask over their starts.
@@ -146,9 +162,13 @@ def contexts(c: Chunk, window: int = WINDOW, k: int = K, slice_bytes: int = SLIC
         first, last = np.nonzero(new)[0], np.nonzero(last)[0]
         many = last - first + 1
         ctx = mix((sums[last + window] - sums[first]) * inverse[first] + (many * 64 + at[first] - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        parts.append((h[at[first]], ctx, first + a, many))
-    anchor, ctx, first, many = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return {"anchor": anchor, "ctx": ctx, "start": first, "many": many, "doc": np.searchsorted(c.off, first, side="right") - 1}
+        power, inverse = _second_powers(size + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[buf] * power[:size], dtype=np.uint64)])
+        ctx2 = mix((sums[last + window] - sums[first]) * inverse[first] + (many * 64 + at[first] - first).astype(np.uint64))
+        parts.append((h[at[first]], ctx, ctx2, first + a, many))
+    none = [np.zeros(0, x) for x in (np.uint64, np.uint64, np.uint64, np.int64, np.int64)]
+    anchor, ctx, ctx2, first, many = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
+    return {"anchor": anchor, "ctx": ctx, "ctx2": ctx2, "start": first, "many": many, "doc": np.searchsorted(c.off, first, side="right") - 1}
 
 
 def _order(c: Chunk) -> np.ndarray:
@@ -156,7 +176,7 @@ def _order(c: Chunk) -> np.ndarray:
     return np.where(c.null == 1, np.iinfo(np.int64).min, c.ids)
 
 
-DEALT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk_id", T.LongType()), *[T.StructField(x, T.BinaryType()) for x in ("anchor", "ctx", "doc", "start", "many", "gone_start", "gone_many")]])
+DEALT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk_id", T.LongType()), *[T.StructField(x, T.BinaryType()) for x in ("anchor", "ctx", "ctx2", "doc", "start", "many", "gone_start", "gone_many")]])
 SETTLED = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("n_open", T.LongType()), *[T.StructField(x, T.BinaryType()) for x in ("gone_start", "gone_many", "open_anchor", "open_start", "open_many", "open_hot")]])
 OPEN = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk_id", T.LongType()), *[T.StructField(x, T.BinaryType()) for x in ("anchor", "doc", "start", "many", "bytes", "gone_start", "gone_many")]])
 GONE = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("gone_start", T.BinaryType()), T.StructField("gone_many", T.BinaryType())])
@@ -181,7 +201,7 @@ def _deal(buckets: int, window: int, k: int, slice_bytes: int):
                 c = Chunk(*[r[x] for x in _CHUNK])
                 x = contexts(c, window, k, slice_bytes)
                 doc = _order(c)[x["doc"]]
-                order, new = _firsts([x["anchor"], x["ctx"]], [doc, x["start"]])
+                order, new = _firsts([x["anchor"], x["ctx"], x["ctx2"]], [doc, x["start"]])
                 to = (x["anchor"] % np.uint64(buckets)).astype(np.int64)
                 keep, gone = np.sort(order[new]), np.sort(order[~new])
                 keep, gone = keep[np.argsort(to[keep], kind="stable")], gone[np.argsort(to[gone], kind="stable")]
@@ -190,7 +210,7 @@ def _deal(buckets: int, window: int, k: int, slice_bytes: int):
                 for i in range(buckets):
                     a, g = keep[ke[i] : ke[i + 1]], gone[ge[i] : ge[i + 1]]
                     if len(a):
-                        out.append({"bucket": i, "chunk_id": r["chunk_id"], "anchor": x["anchor"][a].tobytes(), "ctx": x["ctx"][a].tobytes(), "doc": doc[a].tobytes(), "start": x["start"][a].astype("<i8").tobytes(), "many": x["many"][a].astype("u1").tobytes(), "gone_start": x["start"][g].astype("<i8").tobytes(), "gone_many": x["many"][g].astype("u1").tobytes()})
+                        out.append({"bucket": i, "chunk_id": r["chunk_id"], "anchor": x["anchor"][a].tobytes(), "ctx": x["ctx"][a].tobytes(), "ctx2": x["ctx2"][a].tobytes(), "doc": doc[a].tobytes(), "start": x["start"][a].astype("<i8").tobytes(), "many": x["many"][a].astype("u1").tobytes(), "gone_start": x["start"][g].astype("<i8").tobytes(), "gone_many": x["many"][g].astype("u1").tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=arrow(DEALT))
 
     return run
@@ -205,8 +225,8 @@ def _settle(hot_contexts: int):
         """Settles the contexts of a bucket: later copies of equal ones are gone, those of an anchor with several stay open."""
         f = f.sort_values("chunk_id").reset_index(drop=True)
         row = np.repeat(np.arange(len(f)), [len(x) for x in f.many])
-        anchor, ctx, doc, start, many = _joined(f, "anchor", "<u8"), _joined(f, "ctx", "<u8"), _joined(f, "doc", "<i8"), _joined(f, "start", "<i8"), _joined(f, "many", "u1")
-        order, new = _firsts([anchor, ctx], [doc, row, start])
+        anchor, ctx, ctx2, doc, start, many = _joined(f, "anchor", "<u8"), _joined(f, "ctx", "<u8"), _joined(f, "ctx2", "<u8"), _joined(f, "doc", "<i8"), _joined(f, "start", "<i8"), _joined(f, "many", "u1")
+        order, new = _firsts([anchor, ctx, ctx2], [doc, row, start])
         gone = np.sort(order[~new])
         reps = order[new]
         same = np.concatenate([[False], anchor[reps][1:] == anchor[reps][:-1]])
@@ -237,9 +257,9 @@ def _open(buckets: int, window: int):
         gone_start, gone_to = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if hot.any():
             singles = np.concatenate([np.arange(s, s + m) for s, m in zip(start[hot], many[hot], strict=True)])
-            h = np.array([int.from_bytes(hashlib.blake2b(c.raw[s : s + window], digest_size=8).digest(), "little") for s in singles], np.uint64)
+            h, h2 = np.frombuffer(b"".join(hashlib.blake2b(c.raw[s : s + window], digest_size=16).digest() for s in singles), "<u8").reshape(-1, 2).T
             doc = _order(c)[np.searchsorted(c.off, singles, side="right") - 1]
-            order, new = _firsts([h], [doc, singles])
+            order, new = _firsts([h, h2], [doc, singles])
             gone_start, gone_to = singles[order[~new]], (h[order[~new]] % np.uint64(buckets)).astype(np.int64)
             keep = order[new]
             anchor, start, many = np.concatenate([anchor[~hot], h[keep]]), np.concatenate([start[~hot], singles[keep]]), np.concatenate([many[~hot], np.ones(len(keep), np.int64)])

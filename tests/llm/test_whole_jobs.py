@@ -5,10 +5,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
+import zstandard
 
-from quern.llm import lines, lm
-from quern.llm.common import Scratch
+from quern.llm import lines, lm, suffix
+from quern.llm.common import CHUNK_SCHEMA, Scratch, arrow
 from tests.llm.test_operators import UNIQUE
 
 
@@ -76,3 +80,31 @@ def test_op9_trigrams_seen_once_count(spark, scratch):
     for k, w in words.items():
         assert got[k][0] == len(w)
         assert got[k][1] == pytest.approx(sum(log_of(w, i) for i in range(len(w))), rel=1e-9, abs=1e-9)
+
+
+def chunk(chunk_id, ids, texts):
+    lens = np.array([len(t) for t in texts], "<i8")
+    row = {"chunk_id": chunk_id, "n_docs": len(ids), "n_bytes": int(lens.sum()), "ids": np.array(ids, "<i8").tobytes(), "rows": np.array(ids, "<i8").tobytes(), "null_ids": bytes(len(ids)), "lens": lens.tobytes(), "blob": zstandard.ZstdCompressor().compress(b"".join(texts))}
+    return pa.RecordBatch.from_pylist([row], schema=arrow(CHUNK_SCHEMA))
+
+
+def test_op2_contexts_of_one_hash_are_told_apart(monkeypatch):
+    was = suffix.contexts
+    monkeypatch.setattr(suffix, "contexts", lambda *a: (x := was(*a)) | {"ctx": np.zeros_like(x["ctx"])})
+    r = random.Random(0)  # all share their anchor
+    s = bytes(r.choices(b"abcdefgh ", k=100))
+    texts = [b"x" + s[1:], b"y" + s[1:], s[:99] + b"z", b"x" + s[1:]]
+    assert len({int(x) for t in texts[:3] for x in was(suffix.Chunk(*[chunk(0, [0], [t]).to_pylist()[0][k] for k in suffix._CHUNK]))["anchor"]}) == 1
+    for chunks in ([chunk(0, [0, 1, 2, 3], texts)], [chunk(i, [i], [t]) for i, t in enumerate(texts)]):
+        dealt = pd.concat([b.to_pandas() for b in suffix._deal(1, 100, 48, suffix.SLICE)(iter(chunks))])
+        settled = suffix._settle(4000)(dealt)
+        assert sum(len(x) for x in settled.gone_many) == 1 and settled.n_open.sum() == 3
+
+
+def test_op2_second_hash_is_of_the_bytes_alone():
+    r = random.Random(5)
+    text = bytes(r.choices(b"abcdefgh ", k=3000))
+    x, y = (suffix.contexts(suffix.Chunk(*[chunk(0, [0, 1], t).to_pylist()[0][k] for k in suffix._CHUNK])) for t in ([text, text], [b"some other bytes" * 20, text]))
+    half = len(x["ctx2"]) // 2
+    assert half > 50 and (x["ctx2"][:half] == x["ctx2"][half:]).all() and (y["ctx2"][-half:] == x["ctx2"][half:]).all()
+    assert len(set(x["ctx2"].tolist())) == half

@@ -90,7 +90,7 @@ SELECT name FROM t WHERE NOT (
   OR len(list_filter(list_concat(tried, parts), lambda x: regexp_full_match(x, '[^a-s](?s:.*)') AND NOT regexp_full_match(x, '[^a-s]') AND false OR regexp_full_match(x, '1[5-9](?s:.*)\\.txt'))) > 0)""")
 def exclude_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as paths, without those that globs exclude, by themselves, by an ancestor or by a component."""
-    x = read(spark, sf_dir, "documents").select(F.concat(F.lit("src"), F.substring("source", 4, 20), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
+    x = read(spark, sf_dir, "documents").select(F.concat(F.lit("src"), F.substr("source", F.lit(4)), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
     return x.where(~P.excluded(F.col("name"), [g for g in _GLOBS if g != "[!a-s]*"]))
 
 

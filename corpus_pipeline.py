@@ -30,7 +30,7 @@ def _with_length(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: those without text or without a letter."""
+    """Documents whose language can't be told go: those without text or without a letter. The model itself rejects none."""
     clear_scratch()
     return keep_identified(docs, train(docs))
 

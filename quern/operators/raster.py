@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import raster as R
 
 #: Named pipelines: the transforms in order.
-PRESETS = {"raw": [], "palette": ["palette"], "predictive": ["ycocg", "med", "planar"], "delta": ["delta"], "delta+predictive": ["delta", "ycocg", "med", "planar"], "best": ["delta", "ycocg", "med", "planar"]}
+PRESETS = {"raw": [], "palette": ["palette"], "predictive": ["ycocg", "med", "planar"], "delta": ["delta"], "delta+predictive": ["delta", "ycocg", "med", "planar"], "best": ["ycocg", "med", "planar"]}
 
 
 def with_previous(frames: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quern import plans
 from quern.functions import paths as P
+from quern.operators import raster
 from tests.twins import same
 
 
@@ -19,3 +20,9 @@ def test_exclude_globs_takes_the_whole_source(spark, tmp_path):
 def test_negated_set_matches_components(spark):
     x = spark.createDataFrame([("src/de/a.txt",), ("src/zz/a.txt",), ("src/de/1.txt",), ("tar",), ("sat",)], "name string")
     assert {r.name for r in x.where(P.excluded(F.col("name"), ["[!a-s]*"])).collect()} == {"src/zz/a.txt", "src/de/1.txt", "tar"}
+
+
+def test_presets_are_those_of_the_reference():
+    """verifications/rgb1/swift_tar_DOE.swift, presetFlags."""
+    predictive = ["ycocg", "med", "planar"]
+    assert raster.PRESETS == {"raw": [], "palette": ["palette"], "predictive": predictive, "delta": ["delta"], "delta+predictive": ["delta", *predictive], "best": predictive}

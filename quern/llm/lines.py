@@ -2,25 +2,25 @@
 
 Documents are sequences of line ids (MD5 of a line; blank lines are passed over). The suffix array over these sequences is
 built by prefix doubling: sorting the ids gives ranks by one line, sorting pairs (rank of the first 2^(k-1) lines, rank of
-the next 2^(k-1)) gives ranks by 2^k lines. A suffix whose prefix occurs nowhere else drops out. Suffixes with equal ranks
-form an interval with a longest common prefix of 2^k lines or more; all but the first of them are later copies. Two windows
-of 2^k lines cover any repeated run of 2^k to 2^(k+1) lines, so the windows of later copies make up the later copies of
-maximal runs.
+the next 2^(k-1)) gives ranks by 2^k lines. A suffix whose prefix occurs nowhere else drops out. Suffixes that are equal over
+s lines, 2^k <= s < 2^(k+1), form an interval with a longest common prefix of s lines or more, named by the two ranks of 2^k
+lines that cover them; all suffixes of an interval but its first are later copies of a run of s lines.
 
-A window of 2^k lines (1, 2, 4, ...) is removed if it has ``min_words`` words or more and starts earlier too: in a document
-with a smaller doc_id, or further up in its own. A window of ``min_words`` lines always has that many words, and larger ones
-are unions of such, so doubling stops there. As the words count for each window, runs of other sizes that have ``min_words``
-words only as a whole stay; this is what the query and its SQL twin define.
+A run of successive lines goes if it has ``min_words`` words or more and starts earlier too: in a document with a smaller
+doc_id, or further up in its own. The words count for the whole run, whatever its number of lines; so the later copy of a
+maximal repeated run goes as a whole, or stays if it is shorter than that.
 
-With ``whole_runs`` windows of all sizes count, and so any repeated run of ``min_words`` words goes as a whole: a window of s
-lines, 2^k < s < 2^(k+1), is named by the ranks of the two windows of 2^k lines that cover it. Of these only windows with few
-words but for their first or last line are looked up, as the others are unions of windows that are a line shorter.
+Two depths of the intervals decide, for each line: the fewest lines from it on that have ``min_words`` words, and the
+fewest up to it. Any repeated run with that many words is a union of such: where the lines from x to the run's end have
+the words, the least run from x on is inside it and covers x, else the one from the run's first line on or the one up to x does. As
+a line that isn't blank has a word, doubling ends at ``min_words`` lines.
 
 Joins on ranks stay even when one line makes up a third of all lines, and each level is a table in the shared folder.
 
-Defined results: null text counts as empty; blank lines stay and don't part a run; short lines stay unless a longer removed
-window covers them; of rows with equal doc_id the one read first is earlier, so repeated rows are later copies; an empty
-table gives no rows; other columns pass through untouched.
+Defined results: null text counts as empty; blank lines stay and don't part a run; lines that are only in repeated runs with
+fewer words stay; of rows with equal doc_id the one read first is earlier, so repeated rows are later copies; a null doc_id
+comes before all others; very long texts are one row here and one row a line in between; an empty table gives no rows;
+other columns pass through untouched, also those with names that are added here.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, even_join, fresh, whole_text
 
-#: Windows with fewer words stay.
+#: Runs with fewer words stay.
 MIN_WORDS = 8
 
 #: Columns that dedup_lines adds; a table that has them already gets an underscore more.
@@ -40,7 +40,27 @@ _PLACE = ("_doc", "_row", "_n")
 
 
 def _words(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")).cast("long")
+    return F.regexp_count(line, F.lit(r"\S+")).cast("long")
+
+
+def _fewest(words: Column, min_words: int) -> Column:
+    """How many elements of an array, from its first, sum up to ``min_words``; null if all are too few."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"))
+    end = F.aggregate(words, start, lambda a, w: F.when(a["sum"] >= min_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + w).alias("sum"))))
+    return F.when(end["sum"] >= min_words, end["n"])
+
+
+def _depths(numbered: Column, min_words: int) -> Column:
+    """(lid, least, most) for each line: the windows that start at it and that decide have ``least`` to ``most`` lines; null if none do."""
+
+    def one(x: Column, i: Column) -> Column:
+        near = F.transform(F.slice(numbered, i + 1, min_words + 1), lambda y: y["words"])
+        ahead = _fewest(near, min_words)
+        # Windows of a line more whose other lines fall short: the least ones up to their last line.
+        behind = F.aggregate(F.slice(near, 2, min_words), F.struct(F.lit(1).alias("n"), F.lit(0).cast("long").alias("sum")), lambda a, w: F.when(a["sum"] + w >= min_words, F.struct(a["n"], F.lit(min_words).cast("long").alias("sum"))).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + w).alias("sum"))))["n"]
+        return F.struct(x["lid"].alias("lid"), ahead.alias("least"), F.greatest(ahead, behind).alias("most"))
+
+    return F.transform(numbered, one)
 
 
 def _own_key() -> Column:
@@ -48,65 +68,64 @@ def _own_key() -> Column:
     return F.unhex(F.concat(F.lit("FF"), F.lpad(F.hex("_row"), 16, "0"), F.lpad(F.hex("_n"), 16, "0")))
 
 
-def _ranked(x: DataFrame, k: int | str, scratch: Scratch) -> DataFrame:
+def _ranked(x: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     """Rows whose key occurs more than once, with the key's rank (growing along the sorted keys) and its first place; the others drop out."""
     many = x.groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*_PLACE)).alias("_first")).where("_copies > 1")
-    ranks = scratch.save(many.orderBy("_key").withColumn("_rank", F.monotonically_increasing_id()), f"ranks_{k}")
+    ranks = scratch.save(many.orderBy("_key").withColumn("_rank", F.monotonically_increasing_id()), f"ranks_{name}")
     n = ranks.agg(F.sum("_copies")).first()[0] or 0
     return even_join(x, ranks, "_key", "_copies", n, _own_key()).where(F.col("_rank").isNotNull()).drop("_key", "_copies")
 
 
-def _pair(a: str, b: str) -> Column:
-    return F.unhex(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
-
+def _name(*ranks: Column) -> Column:
+    return F.unhex(F.concat(*[F.lpad(F.hex(r), 16, "0") for r in ranks]))
 
-def _between(x: DataFrame, p: int, s: int, scratch: Scratch, min_words: int) -> DataFrame:
-    """(_row, lines): later copies of windows of s lines, p < s < 2 p, from the ranked windows of p lines."""
-    w = Window.partitionBy("_row").orderBy("_n").rangeBetween(s - p, s - p)
-    x = x.withColumn("_next", F.first(F.struct("_rank", "lines")).over(w)).where(F.col("_next").isNotNull())
-    x = x.withColumn("_tail", F.slice("_next.lines", 2 * p - s + 1, s - p))
-    x = x.withColumn("words", F.col("words") + F.aggregate("_tail", F.lit(0).cast("long"), lambda n, line: n + line["words"]))
-    least = F.col("words") - F.greatest(F.col("lines")[0]["words"], F.col("_tail")[s - p - 1]["words"])
-    x = x.where((F.col("words") >= min_words) & (least < min_words))
-    x = scratch.save(x.select(*_PLACE, _pair("_rank", "_next._rank").alias("_key"), F.concat("lines", "_tail").alias("lines")), f"windows_{s}")
-    return _ranked(x, f"of_{s}", scratch).where(F.struct(*_PLACE) != F.col("_first")).select("_row", "lines")
 
-
-def later_windows(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
-    """(_row, lines): windows to be removed, as arrays of (n, at) of their lines. lines: _doc, _row, _n, at, lid (16 bytes), words; no blank ones."""
-    line = [F.col("_n").alias("n"), F.col("at").alias("at"), *([F.col("words").alias("words")] if whole_runs else [])]
-    x = lines.select(*_PLACE, F.col("lid").alias("_key"), "words", F.array(F.struct(*line)).alias("lines"))
-    hits, k, size = None, 0, 1
+def later_windows(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_row, _n, lines): windows of so many lines from line _n on that are to be removed. lines: _doc, _row, _n, lid (16 bytes), least, most; no blank ones."""
+    x = lines.select(*_PLACE, F.col("lid").alias("_key"), "least", "most")
+    later, hits, size = F.struct(*_PLACE) != F.col("_first"), None, 1
     while True:
-        x = scratch.save(_ranked(x, k, scratch), f"level_{k}")
-        later = x.where((F.struct(*_PLACE) != F.col("_first")) & (F.col("words") >= min_words)).select("_row", "lines")
-        hits = later if hits is None else hits.unionByName(later)
-        if size >= min_words or x.isEmpty():
+        # Ranks of the windows that start 1 .. size lines on, as far as windows of at most min_words lines need them.
+        on = list(range(1, min(size, min_words - size) + 1))
+        w = Window.partitionBy("_row").orderBy("_n")
+        x = _ranked(x, str(size), scratch)
+        # A struct a row, as the frame at d lines on is empty where that line dropped out.
+        x = x.select(*_PLACE, "least", "most", "_rank", later.alias("_later"), *[F.first("_rank").over(w.rangeBetween(d, d)).alias(f"_on_{d}") for d in on])
+        x = scratch.save(x, f"level_{size}")
+        here = x.where(F.col("_later") & F.lit(size).between(F.col("least"), F.col("most"))).select("_row", "_n", F.lit(size).alias("lines"))
+        hits = here if hits is None else hits.unionByName(here)
+        if not on or x.isEmpty():
+            return hits
+        if size > 1:
+            sizes = F.expr(f"sequence(greatest(least, {size + 1}), least(most, {size + min(on[-1], size - 1)}))")
+            y = x.where(f"most > {size} and least < {2 * size}").withColumn("lines", F.explode(sizes))
+            end = F.coalesce(*[F.when(F.col("lines") == size + d, F.col(f"_on_{d}")) for d in on if d < size])
+            y = y.where(end.isNotNull()).select(*_PLACE, "lines", _name(F.col("lines").cast("long"), F.col("_rank"), end).alias("_key"))
+            hits = hits.unionByName(_ranked(y, f"below_{2 * size}", scratch).where(later).select("_row", "_n", "lines"))
+        if 2 * size > min_words:
             return hits
-        if whole_runs:
-            for s in range(size + 1, min(2 * size - 1, min_words) + 1):
-                hits = hits.unionByName(_between(x, size, s, scratch, min_words))
-        # The suffix that many lines on, if it is still there.
-        w = Window.partitionBy("_row").orderBy("_n").rangeBetween(size, size)
-        x = x.withColumn("_next", F.first(F.struct("_rank", "words", "lines")).over(w)).where(F.col("_next").isNotNull())
-        x = x.select(*_PLACE, _pair("_rank", "_next._rank").alias("_key"), (F.col("words") + F.col("_next.words")).alias("words"), F.concat("lines", "_next.lines").alias("lines"))
-        k, size = k + 1, size * 2
+        x = x.where(F.col(f"_on_{size}").isNotNull()).select(*_PLACE, "least", "most", _name(F.col("_rank"), F.col(f"_on_{size}")).alias("_key"))
+        size *= 2
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows with all columns; text without its removed lines, and _n_lines, _n_removed, _n_runs (maximal runs) about them."""
     own = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("own"), F.col("doc_id").cast("long").alias("_doc"), whole_text().alias("text"))
     rows = scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()), "documents")
     split = F.split(F.col("text"), "\n", -1)
-    numbered = F.filter(F.transform(split, lambda line, i: F.struct(i.alias("at"), F.unhex(F.md5(line)).alias("lid"), _words(line).alias("words"))), lambda x: x["words"] > 0)
-    lines = rows.select("_doc", "_row", F.posexplode(numbered).alias("_n", "x"))
-    lines = scratch.save(lines.select("_doc", "_row", F.col("_n").cast("long").alias("_n"), F.col("x.at").alias("at"), F.col("x.lid").alias("lid"), F.col("x.words").alias("words")), "lines")
-    gone = later_windows(lines, scratch, min_words, whole_runs).select("_row", F.explode("lines").alias("x")).distinct()
-    told = gone.groupBy("_row").agg(F.sort_array(F.collect_list("x")).alias("_gone"))
-    opens = F.filter("_gone", lambda x, i: (i == 0) | (F.get("_gone", i - 1)["n"] != x["n"] - 1))
-    told = told.select("_row", F.size("_gone").cast("long").alias("_n_removed"), F.size(opens).cast("long").alias("_n_runs"), F.transform("_gone", lambda x: x["at"]).alias("_gone"))
+    numbered = F.filter(F.transform(split, lambda line: F.struct(F.unhex(F.md5(line)).alias("lid"), _words(line).alias("words"))), lambda x: x["words"] > 0)
+    lines = rows.select("_doc", "_row", numbered.alias("numbered")).select("_doc", "_row", F.posexplode(_depths(F.col("numbered"), min_words)).alias("_n", "x"))
+    lines = scratch.save(lines.select("_doc", "_row", F.col("_n").cast("long").alias("_n"), "x.lid", "x.least", "x.most"), "lines")
+    hits = later_windows(lines, scratch, min_words)
+    told = hits.groupBy("_row").agg(F.collect_list(F.sequence("_n", F.col("_n") + F.col("lines") - 1)).alias("_gone"))
+    told = told.select("_row", F.array_sort(F.array_distinct(F.flatten("_gone"))).alias("_gone"))
+    opens = F.filter("_gone", lambda n, i: (i == 0) | (F.get("_gone", i - 1) != n - 1))
+    told = told.select("_row", F.size("_gone").cast("long").alias("_n_removed"), F.size(opens).cast("long").alias("_n_runs"), "_gone")
     x = rows.join(scratch.save(told, "told").hint("merge"), "_row", "left").withColumn("_lines", split)
+    # From numbers among the lines that aren't blank to places among all.
+    at = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    x = x.withColumn("_at", F.when(F.col("_gone").isNotNull(), at)).withColumn("_gone", F.transform("_gone", lambda n: F.get("_at", n.cast("int"))))
     # Between two removed lines stand the lines from one's place + 1 up to the other's.
     runs = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
     pieces = F.zip_with(F.slice(runs, 1, F.size(runs) - 1), F.slice(runs, 2, F.size(runs) - 1), lambda a, b: F.slice(F.col("_lines"), a + 2, b - a - 1))

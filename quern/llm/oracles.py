@@ -7,17 +7,14 @@ def oracle_sql() -> dict[str, str]:
 
 
 def op3(min_words: int = 8) -> str:
-    """Windows of 1, 2, 4, 8 lines, first places by their texts."""
-    parts, hits, size = [], [], 1
-    while True:
+    """Runs of every number of lines, first places by their texts. A longer repeated run with the words is a union of runs of at most ``min_words`` lines with them."""
+    parts, hits = [], []
+    for size in range(1, min_words + 1):
         texts = " || chr(10) || ".join(f"lead(line, {i}) OVER d" for i in range(size))
         total = " + ".join(f"lead(words, {i}) OVER d" for i in range(size))
         parts.append(f"w{size} AS (SELECT doc_id, n, {texts} AS run, {total} AS total FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY n))")
-        parts.append(f"h{size} AS (SELECT doc_id, n FROM (SELECT doc_id, n, total, row_number() OVER (PARTITION BY run ORDER BY doc_id, n) AS copy FROM w{size} WHERE run IS NOT NULL) WHERE copy > 1 AND total >= {min_words})")
+        parts.append(f"h{size} AS (SELECT doc_id, n FROM (SELECT doc_id, n, total, row_number() OVER (PARTITION BY run ORDER BY doc_id, n) AS copy FROM w{size} WHERE run IS NOT NULL AND total >= {min_words}) WHERE copy > 1)")
         hits.append(f"SELECT doc_id, n + i AS n FROM h{size}, range({size}) r(i)")
-        if size >= min_words:
-            break
-        size *= 2
     return rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents

@@ -12,18 +12,18 @@ def lines(rows, min_words=8):
         every = (t or "").split("\n")
         seqs.append((every, [i for i, x in enumerate(every) if x.split()]))
     gone = [set() for _ in rows]
-    size = 1
-    while True:
-        seen = set()
+    for size in range(1, max((len(at) for _, at in seqs), default=0) + 1):
+        seen, again = set(), False
         for d, (every, at) in enumerate(seqs):
             for n in range(len(at) - size + 1):
                 run = tuple(every[i] for i in at[n : n + size])
-                if run in seen and sum(len(x.split()) for x in run) >= min_words:
-                    gone[d].update(range(n, n + size))
+                if run in seen:
+                    again = True
+                    if sum(len(x.split()) for x in run) >= min_words:
+                        gone[d].update(range(n, n + size))
                 seen.add(run)
-        if size >= min_words:
+        if not again:  # then no longer run is repeated either
             break
-        size *= 2
     out = []
     for g, (every, at) in zip(gone, seqs, strict=True):
         drop = {at[n] for n in g}

@@ -13,6 +13,7 @@ import zstandard
 
 from quern.llm import lines, lm, suffix
 from quern.llm.common import CHUNK_SCHEMA, Scratch, arrow
+from tests.llm import brute
 from tests.llm.test_operators import UNIQUE
 
 
@@ -23,21 +24,6 @@ def scratch(spark):
     s.clear()
 
 
-def whole_runs(rows, min_words=8):
-    """Numbers of the lines of each document that go: those in a later copy, of any size, with min_words words."""
-    seqs = [[x for x in (t or "").split("\n") if x.split()] for _, t in rows]
-    gone = [set() for _ in rows]
-    for size in range(1, max(map(len, seqs)) + 1):
-        seen = set()
-        for d, s in enumerate(seqs):
-            for n in range(len(s) - size + 1):
-                run = tuple(s[n : n + size])
-                if run in seen and sum(len(x.split()) for x in run) >= min_words:
-                    gone[d].update(range(n, n + size))
-                seen.add(run)
-    return [(len(g), sum(n - 1 not in g for n in g)) for g in gone]
-
-
 def text_of(words, tag):
     return "\n".join(" ".join(f"{tag}{i}w{j}" for j in range(n)) for i, n in enumerate(words))
 
@@ -45,7 +31,7 @@ def text_of(words, tag):
 def test_op3_whole_runs_of_short_lines(spark, scratch):
     shapes = [[3, 3, 3], [4, 3, 4], [6, 1, 6], [1, 2, 2, 2, 1, 2, 2], [10, 1, 1], [2, 2, 2, 1]]
     rows = [(10 * i + j, f"own {i} {j}\n{text_of(s, f's{i}')}\nend {i} {j}") for i, s in enumerate(shapes) for j in range(3)]
-    got = {r.doc_id: (r["_n_removed"], r["_n_runs"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), scratch, whole_runs=True).collect()}
+    got = {r.doc_id: (r["_n_removed"], r["_n_runs"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
     assert got == {10 * i + j: (len(s), 1) if j and sum(s) >= 8 else (0, 0) for i, s in enumerate(shapes) for j in range(3)}
 
 
@@ -59,8 +45,8 @@ def test_op3_whole_runs_equal_brute_force(spark, scratch, min_words):
         a, b = r.choice(base), r.choice(base)
         rows.append((1000 + i, "\n".join(a[r.randrange(14) :] + [f"x{i}"] * (i % 2) + b[: r.randrange(14)])))
     x = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r["_n_removed"], r["_n_runs"]) for r in lines.dedup_lines(x, scratch, min_words, whole_runs=True).collect()}
-    assert got == {k: v for (k, _), v in zip(rows, whole_runs(rows, min_words), strict=True)}
+    got = {r.doc_id: (r["_n_removed"], r["_n_runs"]) for r in lines.dedup_lines(x, scratch, min_words).collect()}
+    assert got == {k: v[1:3] for (k, _), v in zip(rows, brute.lines(rows, min_words), strict=True)}
 
 
 def test_op9_trigrams_seen_once_count(spark, scratch):

@@ -68,12 +68,12 @@ def _own_key() -> Column:
     return F.unhex(F.concat(F.lit("FF"), F.lpad(F.hex("_row"), 16, "0"), F.lpad(F.hex("_n"), 16, "0")))
 
 
-def _ranked(x: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+def _repeated(x: DataFrame, name: str, scratch: Scratch, n_lines: int, ranked: bool = True) -> DataFrame:
     """Rows whose key occurs more than once, with the key's rank (growing along the sorted keys) and its first place; the others drop out."""
     many = x.groupBy("_key").agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*_PLACE)).alias("_first")).where("_copies > 1")
-    ranks = scratch.save(many.orderBy("_key").withColumn("_rank", F.monotonically_increasing_id()), f"ranks_{name}")
-    n = ranks.agg(F.sum("_copies")).first()[0] or 0
-    return even_join(x, ranks, "_key", "_copies", n, _own_key()).where(F.col("_rank").isNotNull()).drop("_key", "_copies")
+    many = many.orderBy("_key").withColumn("_rank", F.monotonically_increasing_id()) if ranked else many
+    many = scratch.save(many, f"ranks_{name}")
+    return even_join(x, many, "_key", "_copies", n_lines, _own_key()).where(F.col("_first").isNotNull()).drop("_key", "_copies")
 
 
 def _name(*ranks: Column) -> Column:
@@ -83,13 +83,12 @@ def _name(*ranks: Column) -> Column:
 def later_windows(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """(_row, _n, lines): windows of so many lines from line _n on that are to be removed. lines: _doc, _row, _n, lid (16 bytes), least, most; no blank ones."""
     x = lines.select(*_PLACE, F.col("lid").alias("_key"), "least", "most")
-    later, hits, size = F.struct(*_PLACE) != F.col("_first"), None, 1
+    later, hits, size, n_lines = F.struct(*_PLACE) != F.col("_first"), None, 1, lines.count()
     while True:
         # Ranks of the windows that start 1 .. size lines on, as far as windows of at most min_words lines need them.
         on = list(range(1, min(size, min_words - size) + 1))
         w = Window.partitionBy("_row").orderBy("_n")
-        x = _ranked(x, str(size), scratch)
-        # A struct a row, as the frame at d lines on is empty where that line dropped out.
+        x = _repeated(x, str(size), scratch, n_lines)
         x = x.select(*_PLACE, "least", "most", "_rank", later.alias("_later"), *[F.first("_rank").over(w.rangeBetween(d, d)).alias(f"_on_{d}") for d in on])
         x = scratch.save(x, f"level_{size}")
         here = x.where(F.col("_later") & F.lit(size).between(F.col("least"), F.col("most"))).select("_row", "_n", F.lit(size).alias("lines"))
@@ -101,7 +100,7 @@ def later_windows(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
             y = x.where(f"most > {size} and least < {2 * size}").withColumn("lines", F.explode(sizes))
             end = F.coalesce(*[F.when(F.col("lines") == size + d, F.col(f"_on_{d}")) for d in on if d < size])
             y = y.where(end.isNotNull()).select(*_PLACE, "lines", _name(F.col("lines").cast("long"), F.col("_rank"), end).alias("_key"))
-            hits = hits.unionByName(_ranked(y, f"below_{2 * size}", scratch).where(later).select("_row", "_n", "lines"))
+            hits = hits.unionByName(_repeated(y, f"below_{2 * size}", scratch, n_lines, ranked=False).where(later).select("_row", "_n", "lines"))
         if 2 * size > min_words:
             return hits
         x = x.where(F.col(f"_on_{size}").isNotNull()).select(*_PLACE, "least", "most", _name(F.col("_rank"), F.col(f"_on_{size}")).alias("_key"))
@@ -122,10 +121,10 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     told = told.select("_row", F.array_sort(F.array_distinct(F.flatten("_gone"))).alias("_gone"))
     opens = F.filter("_gone", lambda n, i: (i == 0) | (F.get("_gone", i - 1) != n - 1))
     told = told.select("_row", F.size("_gone").cast("long").alias("_n_removed"), F.size(opens).cast("long").alias("_n_runs"), "_gone")
-    x = rows.join(scratch.save(told, "told").hint("merge"), "_row", "left").withColumn("_lines", split)
-    # From numbers among the lines that aren't blank to places among all.
-    at = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(r"\S"), i)), lambda i: i.isNotNull())
-    x = x.withColumn("_at", F.when(F.col("_gone").isNotNull(), at)).withColumn("_gone", F.transform("_gone", lambda n: F.get("_at", n.cast("int"))))
+    # Places of the lines that aren't blank; made below the join, else it would be made again for each removed line.
+    at = F.filter(F.transform(split, lambda line, i: F.when(line.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    x = rows.withColumn("_at", at).join(scratch.save(told, "told").hint("merge"), "_row", "left").withColumn("_lines", split)
+    x = x.withColumn("_gone", F.transform("_gone", lambda n: F.get("_at", n.cast("int"))))
     # Between two removed lines stand the lines from one's place + 1 up to the other's.
     runs = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_lines")))
     pieces = F.zip_with(F.slice(runs, 1, F.size(runs) - 1), F.slice(runs, 2, F.size(runs) - 1), lambda a, b: F.slice(F.col("_lines"), a + 2, b - a - 1))

@@ -2,17 +2,20 @@
 
 score(w | context) = count(context w) / count(context) if the n-gram was counted ``min_count`` times or more, else
 ``ALPHA`` times the score with a context shorter by a word (so too where a document begins); a single word scores
-count(w) / (number of all words). A
-document's score is the sum of the logarithms over its words.
+count(w) / (number of all words). A document's ``log_score`` is the sum of the logarithms over its words, ``mean_score`` that by the word.
 
-The counts are those of all documents. The n-grams of each chunk of documents are exploded and reduced to distinct ones with
-their numbers; they are dealt by ranges of their 64-bit hash. A task holds one part of the count table, joins the chunks'
+The counts are those of all documents, so a document vouches for its own n-grams. ``rest_score`` is the mean by the word
+under the model of all other documents: its own counts are taken off each n-gram, each context and the number of words, and a
+word that no other document has counts as one. It is what tells a text that occurs again from one that occurs once.
+
+The n-grams of each chunk of documents are exploded and reduced to distinct ones with their numbers; they are dealt by
+ranges of their 64-bit hash. A task holds one part of the count table, joins the chunks'
 n-grams to it and sends the counts back in the order in which they came, so that neither n-grams nor their hashes
 travel twice; the chunk sums them per document. A frequent n-gram comes once from each chunk.
 
 Defined results: words are runs of letters, digits and underscores in lower case; null, empty and wordless texts have
-0 words, score 0 and no mean; repeated rows are counted and scored each; an empty table gives no rows; other columns are
-not read.
+0 words, score 0 and null means; a text longer than a chunk is a chunk of its own; repeated rows are counted and scored each; an
+empty table gives no rows; a null doc_id stays null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,14 +33,14 @@ from quern.llm.common import Chunk, Scratch, arrow, chunk_store
 from quern.llm.jaccard import mix, word_hashes
 
 #: Words of the longest n-gram; n-grams counted less often are unseen; weight of a step back.
-ORDER, MIN_COUNT, ALPHA = 2, 2, 0.4
-#: N-grams of one task, about.
-TASK_NGRAMS = 2_000_000
+ORDER, MIN_COUNT, ALPHA = 3, 1, 0.4
+#: N-grams of one length in one task, about; text of a chunk. A chunk sends a row to each task and length, so rows grow with chunks x tasks.
+TASK_NGRAMS, LM_CHUNK_BYTES = 4_000_000, 8 << 20
 
 _CHUNK = ("ids", "rows", "null_ids", "lens", "blob")
 DEALT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("numbers", T.BinaryType())])
 COUNTED = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk_id", T.LongType()), T.StructField("words", T.LongType()), T.StructField("counts", T.BinaryType())])
-SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())])
+SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_score", T.DoubleType()), T.StructField("rest_score", T.DoubleType())])
 
 
 def squeeze(x: np.ndarray, z) -> bytes:
@@ -120,9 +123,25 @@ def _count(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=COUNTED.names)
 
 
-def backoff(seen: list[np.ndarray], context: list[np.ndarray], total: int, min_count: int, alpha: float) -> np.ndarray:
+def before(seen: list[np.ndarray]) -> list[np.ndarray]:
+    """Counts of the contexts of the n-grams that end with each word, by length: those of a word less that end with the word before."""
+    return [seen[0], *[np.concatenate([np.zeros(min(1, len(x)), x.dtype), x[:-1]]) for x in seen[:-1]]]
+
+
+def own_counts(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How often the n-gram at each place occurs in its own document."""
+    order = np.lexsort((h, doc))
+    d, x = doc[order], h[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])[: len(x)]
+    first = np.nonzero(new)[0]
+    out = np.empty(len(h), np.int64)
+    out[order] = np.diff(np.concatenate([first, [len(h)]]))[np.cumsum(new) - 1] if len(h) else 0
+    return out
+
+
+def backoff(seen: list[np.ndarray], context: list[np.ndarray], total: int | np.ndarray, min_count: int, alpha: float) -> np.ndarray:
     """Scores of words from the counts of the n-grams that end with them and of those n-grams' contexts, by length."""
-    s = seen[0] / max(1, total)
+    s = seen[0] / np.maximum(1, total)
     for n in range(1, len(seen)):
         s = np.where(seen[n] >= min_count, seen[n] / np.maximum(1, context[n]), alpha * s)
     return s
@@ -146,20 +165,24 @@ def _score(buckets: int, order: int, total: int, min_count: int, alpha: float):
                 if e[i] < e[i + 1]:
                     table[e[i] : e[i + 1]] = spread(blobs[i * order + n], "<i8", int(e[i + 1] - e[i]), d)
             seen.append(table[at] if len(at) else np.zeros(0, np.int64))  # place -1 is no n-gram: its count is the 0 at the end
-        context = [seen[0], *[np.concatenate([np.zeros(min(1, len(doc)), np.int64), x[:-1]]) for x in seen[:-1]]]
-        logs = np.log(backoff(seen, context, total, min_count, alpha))
         n_words = np.bincount(doc, minlength=len(c.lens))
+        logs = np.log(backoff(seen, before(seen), total, min_count, alpha))
         sums = np.bincount(doc, weights=logs, minlength=len(c.lens))
-        out = pd.DataFrame({"doc_id": c.doc_ids(), "n_words": n_words, "log_score": sums})
+        rest = [np.maximum(0, x - own_counts(doc, h)) for x, h in zip(seen, hashes, strict=True)]
+        rest[0] = np.maximum(1, rest[0])
+        logs = np.log(backoff(rest, before(rest), np.maximum(1, total - n_words[doc]), min_count, alpha))
+        rests = np.bincount(doc, weights=logs, minlength=len(c.lens))
+        by = np.where(n_words > 0, n_words, np.nan)
+        out = pd.DataFrame({"doc_id": c.doc_ids(), "n_words": n_words, "log_score": sums, "mean_score": sums / by, "rest_score": rests / by})
         out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        return out.astype({"mean_score": "Float64", "rest_score": "Float64"})
 
     return run
 
 
 def score_documents(docs: DataFrame, scratch: Scratch, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA) -> DataFrame:
-    """One row a document: doc_id, n_words, log_score."""
-    store = scratch.save(chunk_store(docs), "chunks", "uncompressed").select("chunk_id", "n_bytes", *_CHUNK)
+    """One row a document: doc_id, n_words, log_score, mean_score, rest_score."""
+    store = scratch.save(chunk_store(docs, LM_CHUNK_BYTES), "chunks", "uncompressed").select("chunk_id", "n_bytes", *_CHUNK)
     n_bytes = store.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(2, -(-n_bytes // (6 * TASK_NGRAMS)))
     dealt = store.drop("n_bytes").mapInArrow(_explode(buckets, order), DEALT)

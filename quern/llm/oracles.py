@@ -53,18 +53,20 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+# Counts of all documents (n1, n2, n3) and of the own one (o1, o2, o3); c1 and c2 are the contexts'.
 OP9 = r"""
 WITH w AS (
-  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents)
-), p AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w),
-one AS (SELECT word, count(*) AS n FROM w GROUP BY word),
-two AS (SELECT before, word, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY before, word),
-t AS (SELECT count(*) AS n FROM w),
+  SELECT doc_id, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents)
+), p AS (SELECT doc_id, i, w1, lag(w1) OVER d AS w2, lag(w1, 2) OVER d AS w3 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+g AS (
+  SELECT *, count(*) OVER (PARTITION BY w1) AS n1, count(*) OVER (PARTITION BY w2, w1) AS n2, count(*) OVER (PARTITION BY w3, w2, w1) AS n3,
+    count(*) OVER (PARTITION BY doc_id, w1) AS o1, count(*) OVER (PARTITION BY doc_id, w2, w1) AS o2, count(*) OVER (PARTITION BY doc_id, w3, w2, w1) AS o3, count(*) OVER () AS n, count(*) OVER (PARTITION BY doc_id) AS o FROM p
+), c AS (SELECT *, lag(n1) OVER d AS c1, lag(n2) OVER d AS c2, lag(o1) OVER d AS co1, lag(o2) OVER d AS co2 FROM g WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 s AS (
-  SELECT p.doc_id, ln(CASE WHEN p.before IS NULL THEN 0.4 * one.n / t.n WHEN two.n >= 2 THEN two.n / c.n ELSE 0.4 * one.n / t.n END) AS v
-  FROM p JOIN one ON p.word = one.word LEFT JOIN two ON p.before = two.before AND p.word = two.word LEFT JOIN one c ON p.before = c.word, t
-), d AS (SELECT doc_id, count(*) AS n_words, sum(v) AS log_score FROM s GROUP BY doc_id)
-SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(log_score, 0.0), 3) AS log_score FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id
+  SELECT doc_id, ln(CASE WHEN w3 IS NOT NULL THEN n3 / c2 WHEN w2 IS NOT NULL THEN 0.4 * n2 / c1 ELSE 0.4 * 0.4 * n1 / n END) AS v,
+    ln(CASE WHEN w3 IS NOT NULL AND n3 > o3 THEN (n3 - o3) / (c2 - co2) WHEN w2 IS NOT NULL AND n2 > o2 THEN 0.4 * (n2 - o2) / greatest(1, c1 - co1) ELSE 0.4 * 0.4 * greatest(1, n1 - o1) / greatest(1, n - o) END) AS r FROM c
+), d AS (SELECT doc_id, count(*) AS n_words, sum(v) AS log_score, avg(v) AS mean_score, avg(r) AS rest_score FROM s GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(log_score, 0.0), 3) AS log_score, round(mean_score, 3) AS mean_score, round(rest_score, 3) AS rest_score FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id
 """
 
 # Bytes as pairs of hexadecimal digits.

@@ -73,7 +73,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.lm import score_documents
 
     x = score_documents(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op9"))
-    return x.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+    return x.select("doc_id", "n_words", *[F.round(c, 3).alias(c) for c in ("log_score", "mean_score", "rest_score")])
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

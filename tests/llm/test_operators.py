@@ -359,7 +359,7 @@ def test_op9(ordered, scratch):
     import re
     from collections import Counter
 
-    got = {r.doc_id: (r.n_words, r.log_score) for r in lm.score_documents(ordered, scratch, order=3).collect()}
+    got = {r.doc_id: (r.n_words, r.log_score) for r in lm.score_documents(ordered, scratch, order=3, min_count=2).collect()}
     words = {k: re.findall(r"\w+", (t or "").lower()) for k, t in UNIQUE}
     c = Counter(tuple(w[i - n : i]) for w in words.values() for n in (1, 2, 3) for i in range(n, len(w) + 1))
     total = sum(map(len, words.values()))

@@ -68,6 +68,30 @@ def test_op9_trigrams_seen_once_count(spark, scratch):
         assert got[k][1] == pytest.approx(sum(log_of(w, i) for i in range(len(w))), rel=1e-9, abs=1e-9)
 
 
+def test_op9_rest_is_the_model_of_all_other_documents(spark, scratch):
+    rows = [*UNIQUE[:40], (2000, "a b c a b d e b c"), (2001, "c b a d b a"), (2002, "a b c a b d e b c"), (2003, "only here")]
+    x = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.score_documents(x, scratch).collect()}
+    words = {k: re.findall(r"\w+", (t or "").lower()) for k, t in rows}
+    assert got[2003].rest_score < got[2000].rest_score
+    for k, w in words.items():
+        if not w:
+            assert (got[k].log_score, got[k].mean_score, got[k].rest_score) == (0, None, None)
+            continue
+        others = [v for j, v in words.items() if j != k]
+        c = Counter(tuple(v[i - n : i]) for v in others for n in (1, 2, 3) for i in range(n, len(v) + 1))
+        total, logs = max(1, sum(map(len, others))), 0.0
+        for i in range(len(w)):
+            for n in (3, 2, 1):
+                gram = tuple(w[i - n + 1 : i + 1]) if i >= n - 1 else ()
+                if n == 1:
+                    logs += math.log(0.16 * max(1, c[gram]) / total)
+                elif gram and c[gram]:
+                    logs += math.log(0.4 ** (3 - n) * c[gram] / max(1, c[gram[:-1]]))
+                    break
+        assert got[k].mean_score == pytest.approx(got[k].log_score / len(w)) and got[k].rest_score == pytest.approx(logs / len(w), rel=1e-9)
+
+
 def chunk(chunk_id, ids, texts):
     lens = np.array([len(t) for t in texts], "<i8")
     row = {"chunk_id": chunk_id, "n_docs": len(ids), "n_bytes": int(lens.sum()), "ids": np.array(ids, "<i8").tobytes(), "rows": np.array(ids, "<i8").tobytes(), "null_ids": bytes(len(ids)), "lens": lens.tobytes(), "blob": zstandard.ZstdCompressor().compress(b"".join(texts))}

@@ -17,12 +17,10 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where that is unset (tests), a folder of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. There is no other, as a machine's own folders are unseen by the others."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
-        root = "file://" + tempfile.gettempdir() + "/quern-scratch"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
@@ -32,11 +30,8 @@ class Scratch:
     A result that is computed lazily still reads them, so they are dropped by the caller's ``clear()``, never behind its back.
     """
 
-    live: list[Scratch] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex[:12]}"
-        Scratch.live.append(self)
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
@@ -47,14 +42,6 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        if self in Scratch.live:
-            Scratch.live.remove(self)
-
-
-def clear_scratch() -> None:
-    """Drop the tables of all jobs whose results have been written."""
-    for x in list(Scratch.live):
-        x.clear()
 
 
 def whole_text(col: str = "text") -> Column:

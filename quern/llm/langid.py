@@ -5,17 +5,19 @@ counted once each, over the root of the product of their own numbers. Landmarks
 features K(x, L) K(L, L)^(-1/2), on which one-versus-rest ridge regression is solved; texts are scored in batches, as
 products of a presence matrix with the landmarks' and of the result with the weights.
 
-N-grams are hashed to ``SLOTS`` places, so any script will do. Lower case is taken, and anything but letters counts as a
-blank. The fit reads ``FIT_PER_LANG`` texts a language and ``FIT_ROWS`` in all, at most, picked by a hash of doc_id; its
-model is a few MB whatever the input. Whole texts are scored, slice by slice.
+N-grams are hashed to ``SLOTS`` places, so any script will do. Lower case is taken, and anything but letters (Unicode's
+categories L: numerals such as a half or Roman ones are none) counts as a
+blank. The fit reads ``FIT_PER_LANG`` texts a language and ``FIT_ROWS`` in all, at most, picked by a hash of doc_id: the least
+of the ``PART_ROWS`` least of each of ``PARTS`` parts of a language, so no task gets a language's rows. Executors reduce them
+to their places, so ``FIT_ROWS`` x 8 KB come to the driver whatever the lengths of texts. Whole texts are scored, slice by slice.
 
 Defined results: ``und`` with score 0 where text is null or has no letter, or where nothing could be learned; ties go to
-the language that sorts first; repeated rows are predicted alike; an empty table gives no rows; other columns are not read.
+the language that sorts first; repeated rows are predicted alike; an empty table gives no rows; very long texts are read
+slice by slice; other columns are not read, or pass through where rows are kept.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +32,12 @@ SLOTS_LOG = 16
 MAX_N = 3
 LANDMARKS, FIT_PER_LANG, FIT_ROWS = 96, 400, 4000
 RIDGE = 1e-3
-#: Parts of a language in which rows for the fit are picked first.
-PARTS = 256
+#: Parts of a language in which rows for the fit are picked first, and how many of each are.
+PARTS, PART_ROWS = 256, 16
 UNKNOWN = "und"
 #: Characters of a text that are worked on at once.
 SLICE = 1 << 20
 
-LETTER = re.compile(r"[^\W\d_]")
 _letters: list[np.ndarray] = []
 
 
@@ -46,6 +47,10 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def presence(text: str, out: np.ndarray) -> None:
     """Mark the slots of the n-grams of a text in ``out`` (bool, SLOTS)."""
     text = text.lower()
@@ -81,8 +86,23 @@ class Model:
         return self.kernel(p) @ self.weights
 
 
+def _packed(text: str) -> bytes:
+    out = np.zeros(1 << SLOTS_LOG, bool)
+    presence(text, out)
+    return np.packbits(out).tobytes()
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(rows), "u1")).reshape(len(rows), -1).astype(bool)
+
+
 def fit(texts: list[str], langs: list[str], n_landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Fit on texts with letters. The landmarks are the first texts of each language in turn."""
+    """Fit on texts with letters."""
+    return fit_packed([_packed(t) for t in texts], langs, n_landmarks, ridge)
+
+
+def fit_packed(texts: list[bytes], langs: list[str], n_landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """Fit on texts as bits of their places. The landmarks are the first texts of each language in turn."""
     names = sorted(set(langs))
     if not names:
         return None
@@ -92,13 +112,13 @@ def fit(texts: list[str], langs: list[str], n_landmarks: int = LANDMARKS, ridge:
         turn[k] = turn.get(k, 0) + 1
         order.append((turn[k], k, i))
     marks = [i for _, _, i in sorted(order)[: max(n_landmarks, len(names))]]
-    p = presence_matrix([texts[i] for i in marks])
+    p = _unpacked([texts[i] for i in marks])
     at = np.nonzero(p.any(0))[0]
     root = np.sqrt(np.maximum(1, p.sum(1)))
     model = Model(names, at, (p[:, at] / root[:, None]).astype(np.float32), np.zeros((len(marks), len(names)), np.float32))
     values, vectors = np.linalg.eigh(model.kernel(p).astype(np.float64))
     whiten = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    k = np.concatenate([model.kernel(presence_matrix(texts[a : a + 128])) for a in range(0, len(texts), 128)]).astype(np.float64)
+    k = np.concatenate([model.kernel(_unpacked(texts[a : a + 128])) for a in range(0, len(texts), 128)]).astype(np.float64)
     f = k @ whiten
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     share = np.array([langs.count(x) for x in names]) / len(langs)
@@ -114,18 +134,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Model | None:
-    x = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     x = x.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     keys = x.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
     # First within parts of a language, as one may hold most rows; what is left of all parts is bounded.
     part = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "doc_id")
-    keys = keys.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= FIT_PER_LANG)
+    keys = keys.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= PART_ROWS)
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
     keys = keys.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= FIT_PER_LANG).orderBy("_r", "lang").limit(FIT_ROWS)
     few = F.broadcast(keys.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_r"))  # FIT_ROWS rows at most
-    rows = x.join(few, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text", "_r").orderBy("_r", "lang", "text").limit(FIT_ROWS).collect()
-    rows = [r for r in rows if LETTER.search(r.text)]
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    rows = x.join(few, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "_r", "doc_id", "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([_packed(t) if has_letter(t) else None for t in b.column(3).to_pylist()], pa.binary())], names=["lang", "_r", "doc_id", "bits"])
+
+    bits = rows.mapInArrow(pack, "lang string, _r int, doc_id long, bits binary").where("bits is not null")
+    got = bits.orderBy("_r", "lang", "bits").limit(FIT_ROWS).collect()  # FIT_ROWS x 8 KB
+    return fit_packed([bytes(r.bits) for r in got], [r.lang for r in got])
 
 
 PREDICTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -133,7 +159,7 @@ PREDICTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("
 
 def predict_batch(model: Model | None, texts: list) -> tuple[list[str], list[float]]:
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    live = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+    live = [i for i, t in enumerate(texts) if model and has_letter(t)]
     for a in range(0, len(live), 64):
         some = live[a : a + 64]
         s = model.scores(presence_matrix([texts[i] for i in some]))
@@ -161,7 +187,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            told = [x != UNKNOWN for x in predict_batch(sent.value, texts)[0]] if sent.value else [bool(t and LETTER.search(t)) for t in texts]
+            told = [x != UNKNOWN for x in predict_batch(sent.value, texts)[0]] if sent.value else [has_letter(t) for t in texts]
             yield b.filter(pa.array(told, pa.bool_()))
 
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")

@@ -37,7 +37,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.exact import ExactIndex
 
-    x = ExactIndex(spark).add(documents(spark, sf_dir), "documents")
+    index = ExactIndex(spark)
+    x = index.add(documents(spark, sf_dir), "documents")
+    index.drop()  # from the catalog; the result doesn't read it
     return x.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

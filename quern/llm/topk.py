@@ -1,15 +1,20 @@
 """Exact top-k search by inner product (operator 8).
 
 Vectors are turned so that their directions of largest variance come first (SVD of the Gram matrix, which is summed over
-all vectors and has d x d entries) and are dealt by descending length. The longest ones seed each query's threshold, its
-k-th best score so far. A block of candidates meets a block of queries only if the product of lengths can reach a
-threshold; inside, partial sums over the leading turned coordinates plus the Cauchy-Schwarz bound on the rest drop most
-pairs, and the survivors get their exact integer product. Bounds carry a margin for rounding, so nothing is lost.
+all vectors and has d x d entries) and processed by descending length, in bands: the ``HEAD`` longest first, then bands that are each ``GROWTH``
+times as large. After each band a query's threshold is its k-th best score so far, and queries that no shorter vector can serve
+(Cauchy-Schwarz on the whole lengths) are done. Inside a band each task meets its candidates block by block, longest first, with
+thresholds that rise as it goes. For a block of queries and one of candidates, partial sums over more and more leading turned
+coordinates (``STAGES``) plus the Cauchy-Schwarz bound on the rest drop pairs; survivors get their exact integer product. Bounds carry
+a margin for rounding, so nothing is lost.
 
-Defined results: vectors that are null, or hold a null or non-finite component, take no part; shorter vectors count as
+Queries are broadcast in stripes of at most ``STRIPE_BYTES``, each of which meets all candidates where they lie: candidates are
+dealt once, by length, and not shuffled again. The number of bands grows with the logarithm of the table.
+
+Defined results: vectors that are null, or hold a null or non-finite component, and rows with a null id take no part; shorter vectors count as
 filled up with zeros; ties go to the smaller vec_id; of rows with equal vec_id each is a candidate, other than the
 query's own id; an id is a query once for each of its rows' distinct vectors. No query or no candidate gives no row. Scores beyond 64 bits are cut to the
-largest or smallest long.
+largest or smallest long. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +29,12 @@ from pyspark.sql import types as T
 
 from quern.llm.common import Scratch, arrow
 
-#: Longest vectors that seed the thresholds; queries and candidates in a block; leading coordinates of the first bound.
-HEAD, QUERY_BLOCK, BLOCK, LEAD = 2048, 512, 2048, 16
+#: Candidates of the first band; how much larger each next one is; queries and candidates in a block.
+HEAD, GROWTH, QUERY_BLOCK, BLOCK = 2048, 8, 512, 2048
+#: Shares of the coordinates after which pairs are dropped.
+STAGES = (0.25, 0.5, 0.75, 0.875)
+#: Queries that are broadcast at once.
+STRIPE_BYTES = 32 << 20
 
 
 def quantised(x: Column, scale: int = 1024) -> Column:
@@ -52,16 +60,6 @@ def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(big, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best: score descending, then id."""
-    if len(ids) > 4 * k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.nonzero(scores >= cut)[0]
-    else:
-        keep = np.arange(len(ids))
-    return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
-
-
 def gram(vectors: DataFrame, d: int) -> np.ndarray:
     """Sum of v v^T over all vectors: d x d numbers come to the driver, whatever the number of vectors."""
 
@@ -86,112 +84,151 @@ def rotation(g: np.ndarray) -> np.ndarray:
     return np.linalg.svd(g)[0]
 
 
-def prune(q: np.ndarray, qn: np.ndarray, tau: np.ndarray, turned: np.ndarray, c_turned: np.ndarray, cn: np.ndarray, lead: int) -> np.ndarray:
-    """Pairs (query, candidate) that may reach the query's threshold, as a boolean matrix."""
-    margin = 1e-9 * np.outer(qn, cn) + 1e-6
-    lead_sum = turned[:, :lead] @ c_turned[:, :lead].T
-    q_rest = np.sqrt(np.maximum(0, qn**2 - (turned[:, :lead] ** 2).sum(1)) + 1e-9 * qn**2)
-    c_rest = np.sqrt(np.maximum(0, cn**2 - (c_turned[:, :lead] ** 2).sum(1)) + 1e-9 * cn**2)
-    return lead_sum + np.outer(q_rest, c_rest) + margin >= tau[:, None]
-
-
-def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, lead: int = LEAD) -> DataFrame:
+def prune(turned: np.ndarray, qn: np.ndarray, tau: np.ndarray, c_turned: np.ndarray, cn: np.ndarray, stages: tuple[float, ...] = STAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) that may reach the query's threshold: those that the bounds after all stages leave."""
+    d = turned.shape[1]
+    rows, cols = np.arange(len(turned)), np.arange(len(c_turned))
+    alive = np.outer(qn, cn) * (1 + 1e-9) + 1e-6 >= tau[:, None]
+    part = np.zeros(alive.shape)
+    q_left, c_left = qn**2 * (1 + 1e-9), cn**2 * (1 + 1e-9)
+    done = 0
+    for share in stages:
+        # Queries and candidates of which no pair is left take no further part.
+        r, c = alive.any(1), alive.any(0)
+        if not r.all() or not c.all():
+            rows, cols, alive, part = rows[r], cols[c], alive[np.ix_(r, c)], part[np.ix_(r, c)]
+        upto = max(done, min(d, round(share * d)))
+        if upto == done or not alive.size:
+            continue
+        q, v = turned[rows, done:upto], c_turned[cols, done:upto]
+        part = part + q @ v.T
+        q_left[rows] -= (q**2).sum(1)
+        c_left[cols] -= (v**2).sum(1)
+        rest = np.outer(np.sqrt(np.maximum(0, q_left[rows])), np.sqrt(np.maximum(0, c_left[cols])))
+        alive = alive & (part + rest + 1e-9 * np.outer(qn[rows], cn[cols]) + 1e-6 >= tau[rows, None])
+        done = upto
+    i, j = np.nonzero(alive)
+    return rows[i], cols[j]
+
+
+def pair_scores(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact integer products of the rows i of q and j of c."""
+    if not len(i):
+        return np.zeros(0, np.int64)
+    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < 2.0**52:
+        out = [np.einsum("ij,ij->i", q[i[a : a + 65536]], c[j[a : a + 65536]]) for a in range(0, len(i), 65536)]
+        return np.concatenate(out)
+    return np.concatenate([exact_scores(q[a : a + 1], c[b : b + 1])[0] for a, b in zip(i, j, strict=True)])
+
+
+class Best:
+    """The k best of each query of a stripe so far: places are those of the stripe."""
+
+    def __init__(self, tau: np.ndarray, k: int):
+        self.tau, self.k = tau.copy(), k
+        self.who, self.ids, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, who: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        who, ids, scores = np.concatenate([self.who, who]), np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
+        order = np.lexsort((ids, -scores.astype(np.float64), who)) if len(scores) and np.abs(scores).max() < 2**52 else np.array(sorted(range(len(who)), key=lambda x: (who[x], -int(scores[x]), ids[x])), np.int64)
+        who, ids, scores = who[order], ids[order], scores[order]
+        first = np.searchsorted(who, who, side="left")
+        rank = np.arange(len(who)) - first
+        keep = rank < self.k
+        last = np.nonzero(rank == self.k - 1)[0]
+        self.tau[who[last]] = np.maximum(self.tau[who[last]], scores[last])
+        self.who, self.ids, self.scores = who[keep], ids[keep], scores[keep]
+
+
+def search(queries: tuple[np.ndarray, ...], turn: np.ndarray, candidates: Iterator[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(places of queries, ids, scores) of the k best among the candidates, and the number of pairs that got an exact product.
+
+    queries: ids, vectors, lengths, thresholds; candidates: blocks of ids, vectors and lengths, longest first.
+    """
+    q_ids, q, qn, tau = queries
+    turned, found, exact = q.astype(np.float64) @ turn, Best(tau, k), 0
+    for c_ids, c, cn in candidates:
+        live = np.nonzero(qn * (float(cn.max(initial=0)) * (1 + 1e-9)) + 1e-6 >= found.tau)[0]
+        c_turned = c.astype(np.float64) @ turn
+        for a in range(0, len(live), QUERY_BLOCK):
+            at = live[a : a + QUERY_BLOCK]
+            i, j = prune(turned[at], qn[at], found.tau[at], c_turned, cn)
+            i = at[i]
+            other = q_ids[i] != c_ids[j]
+            i, j = i[other], j[other]
+            s = pair_scores(q, c, i, j)
+            exact += len(i)
+            better = s >= found.tau[i]
+            found.add(i[better], c_ids[j[better]], s[better])
+    return found.who, found.ids, found.scores, exact
+
+
+def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query."""
     x = vectors.select(F.col(id_col).cast("long").alias("vec_id"), is_query.alias("is_query"), quantised(F.col(vec_col), scale).alias("q"))
     x = x.where(F.col("q").isNotNull() & F.col("vec_id").isNotNull())
     x = x.withColumn("norm", F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))))
     x = scratch.save(x, "vectors")
-    d = x.agg(F.greatest(F.max(F.size("q")), F.lit(1))).first()[0] or 1
+    n_rows, d = x.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    d = max(1, d)
     turn = rotation(gram(x, d))
-    head = x.orderBy(F.desc("norm"), "vec_id").limit(HEAD).select("vec_id", "q").collect()  # HEAD rows at most
-    h_ids, h = np.array([r.vec_id for r in head], np.int64), matrix([r.q for r in head], d)
-    share = x.sparkSession.sparkContext.broadcast((h_ids, h, turn))
-    q_kind = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("q", T.ArrayType(T.LongType())), T.StructField("norm", T.DoubleType()), T.StructField("tau", T.DoubleType())])
-
-    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m, _ = share.value
-        for b in batches:
-            own, q = np.array(b.column(0).to_pylist(), np.int64), matrix(b.column(1).to_pylist(), d)
-            tau = np.full(len(own), -np.inf)
-            for i in range(0, len(own), QUERY_BLOCK):
-                s = exact_scores(q[i : i + QUERY_BLOCK], m)
-                for j in range(len(s)):
-                    rest = s[j][ids != own[i + j]]
-                    if len(rest) >= k:
-                        tau[i + j] = np.partition(rest, len(rest) - k)[len(rest) - k]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(tau)], schema=arrow(q_kind))
-
-    queries = x.where("is_query").select("vec_id", "q", "norm").distinct().mapInArrow(seed, q_kind)
-    queries = scratch.save(queries.withColumn("need", F.when(F.col("norm") > 0, F.col("tau") / F.col("norm")).otherwise(F.lit(float("-inf")))), "queries")
-    n_queries = queries.count()
-    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    # Blocks of queries that need similar lengths, blocks of candidates of similar length: both by range, ties spread by id.
-    q_block_kind = T.StructType([T.StructField("q_block", T.LongType()), T.StructField("need", T.DoubleType()), T.StructField("q_ids", T.BinaryType()), T.StructField("q_vecs", T.BinaryType()), T.StructField("q_norm", T.BinaryType()), T.StructField("q_tau", T.BinaryType())])
-    c_block_kind = T.StructType([T.StructField("longest", T.DoubleType()), T.StructField("c_ids", T.BinaryType()), T.StructField("c_vecs", T.BinaryType()), T.StructField("c_norm", T.BinaryType())])
-
-    def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        n = 0
-        for b in batches:
-            f = b.to_pandas()
-            while len(f):
-                take = f.iloc[: size - n]
-                held.append(take)
-                n, f = n + len(take), f.iloc[len(take) :]
-                if n == size:
-                    yield pd.concat(held)
-                    held, n = [], 0
-        if held:
-            yield pd.concat(held)
-
-    def block_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        for i, f in enumerate(blocks(batches, QUERY_BLOCK)):
-            yield pa.RecordBatch.from_pydict({"q_block": [(TaskContext.get().partitionId() << 32) + i], "need": [float(f.need.min())], "q_ids": [f.vec_id.to_numpy("<i8").tobytes()], "q_vecs": [matrix(list(f.q), d).tobytes()], "q_norm": [f.norm.to_numpy("<f8").tobytes()], "q_tau": [f.tau.to_numpy("<f8").tobytes()]}, schema=arrow(q_block_kind))
-
-    def block_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in blocks(batches, BLOCK):
-            yield pa.RecordBatch.from_pydict({"longest": [float(f.norm.max())], "c_ids": [f.vec_id.to_numpy("<i8").tobytes()], "c_vecs": [matrix(list(f.q), d).tobytes()], "c_norm": [f.norm.to_numpy("<f8").tobytes()]}, schema=arrow(c_block_kind))
-
-    q_rows = scratch.save(queries.repartitionByRange(q_blocks, "need", "vec_id").sortWithinPartitions("need", "vec_id").mapInArrow(block_queries, q_block_kind), "query_blocks", "snappy")
-    # Which blocks a block of candidates has to meet: a list of (id, need), one for each 512 queries.
-    needs = [(r.q_block, r.need) for r in q_rows.select("q_block", "need").toLocalIterator()]
-    needs_sent = x.sparkSession.sparkContext.broadcast(needs)
-    pair_kind = T.StructType([*c_block_kind.fields, T.StructField("q_block", T.LongType())])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                longest = b.column(0)[i].as_py()
-                for q, need in needs_sent.value:
-                    if longest * (1 + 1e-9) + 1e-6 >= need:
-                        yield pa.RecordBatch.from_arrays([*[b.column(j).slice(i, 1) for j in range(4)], pa.array([q], pa.int64())], schema=arrow(pair_kind))
-
-    n_rows = x.count()
-    c_parts = max(1, -(-n_rows // BLOCK))
-    cands = x.select("vec_id", "q", "norm").repartitionByRange(c_parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id").mapInArrow(block_candidates, c_block_kind)
-    pairs = cands.mapInArrow(meet, pair_kind).join(q_rows, "q_block")
-    out_kind = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, t = share.value
-        for b in batches:
-            for r in b.to_pylist():
-                q_ids, c_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["c_ids"], "<i8")
-                q, c = np.frombuffer(r["q_vecs"], "<i8").reshape(-1, d), np.frombuffer(r["c_vecs"], "<i8").reshape(-1, d)
-                qn, cn, tau = (np.frombuffer(r[n], "<f8") for n in ("q_norm", "c_norm", "q_tau"))
-                may = prune(q, qn, tau, q.astype(np.float64) @ t, c.astype(np.float64) @ t, cn, min(lead, d))
-                may &= q_ids[:, None] != c_ids[None, :]
-                rows: list[tuple[np.ndarray, ...]] = []
-                for i in np.nonzero(may.any(1))[0]:
-                    at = np.nonzero(may[i])[0]
-                    s = exact_scores(q[i : i + 1], c[at])[0]
-                    top = best(c_ids[at], s, k)
-                    rows.append((np.full(len(top), q_ids[i]), c_ids[at][top], s[top]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], schema=arrow(out_kind))
-
-    found = pairs.select("q_ids", "q_vecs", "q_norm", "q_tau", "c_ids", "c_vecs", "c_norm").mapInArrow(score, out_kind)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # By length, longest first: a table whose files each hold a range of lengths.
+    dealt = x.select("vec_id", "q", "norm").repartitionByRange(max(1, -(-n_rows // (4 * BLOCK))), F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
+    dealt = scratch.save(dealt, "by_length")
+    edges, size = [], HEAD
+    while size < n_rows:
+        edges.append(1 - size / n_rows)
+        size *= GROWTH
+    # Lengths where bands end: a handful of numbers, exact enough, as any bands give the same result.
+    cuts = list(x.agg(F.percentile_approx("norm", F.array(*map(F.lit, edges)), 10000)).first()[0]) if edges else []
+    bands = list(zip([None, *cuts], [*cuts, None], strict=True))
+    q_rows = scratch.save(x.where("is_query").select("vec_id", "q", "norm").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+    n_queries = q_rows.count()
+    stripes = max(1, -(-(n_queries * (8 * d + 32)) // STRIPE_BYTES))
+    out_kind = T.StructType([T.StructField("query", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+
+    def met(band: DataFrame, stripe: list) -> DataFrame:
+        """The k best of a band for a stripe of queries, by each task."""
+        names = np.array([r["query"] for r in stripe], np.int64)
+        mine = (np.array([r["vec_id"] for r in stripe], np.int64), matrix([r["q"] for r in stripe], d), np.array([r["norm"] for r in stripe]), np.array([-np.inf if r["tau"] is None else float(r["tau"]) for r in stripe]))
+        sent = band.sparkSession.sparkContext.broadcast((names, mine, turn))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, mine, turn = sent.value
+
+            def blocks() -> Iterator[tuple[np.ndarray, ...]]:
+                for b in batches:
+                    for i in range(0, b.num_rows, BLOCK):
+                        part = b.slice(i, BLOCK)
+                        yield part.column(0).to_numpy(), matrix(part.column(1).to_pylist(), d), part.column(2).to_numpy()
+
+            who, ids, scores, _ = search(mine, turn, blocks(), k)
+            yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(mine[0][who]), pa.array(ids), pa.array(scores)], schema=arrow(out_kind))
+
+        return band.mapInArrow(run, out_kind)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    found = None
+    for i, (longest, shortest) in enumerate(bands):
+        band = dealt if longest is None else dealt.where(F.col("norm") < longest)
+        band = band if shortest is None else band.where(F.col("norm") >= shortest)
+        asked = q_rows.withColumn("tau", F.lit(None).cast("long"))
+        if found is not None:
+            kth = found.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("tau"))
+            asked = q_rows.join(kth.hint("merge"), "query", "left")
+            asked = asked.where(F.col("tau").isNull() | (F.col("norm") * (longest * (1 + 1e-9)) + 1e-6 >= F.col("tau")))
+            asked = scratch.save(asked, f"asked_{i}") if stripes > 1 else asked
+        more = None
+        for s in range(stripes):
+            stripe = asked.where(F.pmod(F.xxhash64("query"), F.lit(stripes)) == s).collect()  # STRIPE_BYTES, about
+            if stripe:
+                part = met(band, stripe)
+                more = part if more is None else more.unionByName(part)
+        if more is not None:
+            found = scratch.save(ranked(more if found is None else found.unionByName(more)).drop("rank"), f"found_{i}")
+    if found is None:
+        found = x.sparkSession.createDataFrame([], out_kind)
+    return ranked(found).select("query_id", "rank", "vec_id", "score")

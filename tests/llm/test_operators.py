@@ -238,13 +238,16 @@ def test_op4(docs, spark):
     for k, t in ROWS:
         groups.setdefault(t or "", []).append(k)
     assert got == {(k, max(g), len(g), k == max(g), brute.sha(t)) for t, g in groups.items() for k in g}
-    # Later batches: known texts keep no row, also in another session's view of the same folder; a retry changes nothing.
-    again = exact.ExactIndex(spark, index.path, index.buckets)
-    more = spark.createDataFrame([(1000, "a"), (1001, "new"), (1002, "new")], "doc_id long, text string")
+    # Later batches: known texts keep no row and name the one that stayed, also where the index is opened again with another number; a retry changes nothing.
+    again = exact.ExactIndex(spark, index.path, index.buckets + 3)
+    assert again.buckets == index.buckets
+    more = spark.createDataFrame([(1000, "a"), (5, "a"), (1001, "new"), (1002, "new")] + [(2000 + i, "ab\n" * 300) for i in range(40)], "doc_id long, text string")
+    a, hot = max(k for k, t in ROWS if t == "a"), max(k for k, t in ROWS if t == "ab\n" * 300)
     for _ in range(2):
-        assert {(r.doc_id, r.keep_id, r.kept) for r in again.add(more, "two").collect()} == {(1000, None, False), (1001, 1002, False), (1002, 1002, True)}
+        told = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in again.add(more, "two").collect()}
+        assert told == {(1000, a, 2, False), (5, a, 2, False), (1001, 1002, 2, False), (1002, 1002, 2, True)} | {(2000 + i, hot, 40, False) for i in range(40)}
     assert again.rows().count() == len(groups) + 1
-    # The index side of the anti-join is neither shuffled nor sorted again.
+    # The index side of the anti-join is not shuffled.
     asked = spark.range(10).selectExpr("cast(id as string) digest").join(again.rows().select("digest").hint("merge"), "digest", "left_anti")
     plan = asked._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
@@ -322,7 +325,7 @@ def test_op7(spark):
 
 
 def test_op8(spark, scratch, monkeypatch):
-    for n, v in (("HEAD", 20), ("QUERY_BLOCK", 3), ("BLOCK", 16)):
+    for n, v in (("HEAD", 20), ("GROWTH", 3), ("QUERY_BLOCK", 3), ("BLOCK", 16), ("STRIPE_BYTES", 300)):
         monkeypatch.setattr(topk, n, v)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(400, 8)).astype(np.float32)
@@ -345,6 +348,27 @@ def test_op8(spark, scratch, monkeypatch):
     assert [tuple(r) for r in topk.top_k(few, F.col("vec_id") == 0, Scratch(spark, "f"), 10).collect()] == [(0, 1, 1, 1024 * 2048)]
 
 
+def test_op8_bounds_leave_few_pairs():
+    """On the table's vectors, with thresholds that rise: what share of all pairs gets an exact product, and none is lost."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{SF.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    ids, v = np.array(t["vec_id"].to_pylist()), np.floor(1024 * np.array(t["embedding"].to_pylist(), np.float64)).astype(np.int64)
+    norm = np.sqrt((v.astype(np.float64) ** 2).sum(1))
+    order = np.lexsort((ids, -norm))
+    ids, v, norm = ids[order], v[order], norm[order]
+    turn = topk.rotation(v.T.astype(np.float64) @ v)
+    at = np.nonzero(ids % 100 == 0)[0]
+    blocks = ((ids[a : a + 512], v[a : a + 512], norm[a : a + 512]) for a in range(0, len(ids), 512))
+    who, got, scores, exact = topk.search((ids[at], v[at], norm[at], np.full(len(at), -np.inf)), turn, blocks, 10)
+    assert exact < 0.4 * len(at) * len(ids)
+    s = v[at] @ v.T
+    s[np.arange(len(at)), at] = -(2**60)
+    for i in range(len(at)):
+        want = sorted(zip(-s[i], ids, strict=True))[:10]
+        assert [(-b, a) for a, b in zip(got[who == i], scores[who == i], strict=True)] == [(int(b), int(a)) for b, a in want]
+
+
 def test_huge_components_do_not_wrap(spark, scratch):
     x = spark.createDataFrame([(0, [1e6]), (1, [1e6]), (2, [-1e12])], "vec_id long, embedding array<double>")
     got = [(r.vec_id, r.score) for r in topk.top_k(x, F.col("vec_id") == 0, scratch, 10).orderBy("rank").collect()]

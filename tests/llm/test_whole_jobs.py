@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
-from quern.llm import lines, lm, suffix
+from quern.llm import langid, lines, lm, suffix
 from quern.llm.common import CHUNK_SCHEMA, Scratch, arrow
 from tests.llm import brute
 from tests.llm.test_operators import UNIQUE
@@ -92,6 +92,42 @@ def test_op9_rest_is_the_model_of_all_other_documents(spark, scratch):
         assert got[k].mean_score == pytest.approx(got[k].log_score / len(w)) and got[k].rest_score == pytest.approx(logs / len(w), rel=1e-9)
 
 
+def test_op10_numerals_are_no_letters(spark):
+    model = langid.fit(["the and of to in is that", "der und die das ist nicht ein"] * 3, ["en", "de"] * 3)
+    assert langid.predict_batch(model, ["½ ² Ⅳ ① 7 _", "Ⅳ", None, "", "ª"])[0][:4] == ["und"] * 4
+    x = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["½ ²", "Ⅳ", "①"] * 20)], "doc_id long, text string, lang string")
+    assert langid.train(x) is None and langid.keep_identified(x, model).count() == 0
+    # The engine's own notion of a letter, by which rows for the fit are found, is the same.
+    some = spark.createDataFrame([(c, chr(c)) for c in (0x41, 0xAA, 0xB2, 0xBD, 0x2163, 0x2460, 0x3007, 0x4E00, 0x5D0, 0x1C5, 0x2B0, 0x5F, 0x30)], "c int, s string")
+    assert all(r.ours == chr(r.c).isalpha() for r in some.selectExpr("c", r"s rlike '\\p{L}' ours").collect())
+
+
+def test_op10_is_kernel_ridge_regression():
+    """With all texts as landmarks: plain kernel ridge regression on the n-gram sets themselves."""
+    r = random.Random(2)
+    alphabets = {"aa": "abcde ", "bb": "defgh ", "cc": "aghij "}
+    data = [(k, "".join(r.choice(v) for _ in range(r.randint(20, 60)))) for k, v in alphabets.items() for _ in range(12)]
+    r.shuffle(data)
+    langs, texts = [k for k, _ in data], [t for _, t in data]
+    new = ["".join(r.choice(v) for _ in range(50)) for v in alphabets.values() for _ in range(5)]
+
+    def grams(t):
+        t = "".join(c if c.isalpha() else " " for c in t.lower())
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in b] for x in a])
+
+    a, b = [grams(t) for t in texts], [grams(t) for t in new]
+    names, n, ridge = sorted(alphabets), len(texts), 1e-2
+    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    # Languages are equally frequent, so all rows weigh 1.
+    want = kernel(b, a) @ np.linalg.solve(kernel(a, a) + ridge * n * np.eye(n), y)
+    model = langid.fit(texts, langs, n_landmarks=n, ridge=ridge)
+    got = model.scores(langid.presence_matrix(new))
+    assert (got.argmax(1) == want.argmax(1)).all() and np.abs(got - want).max() < 0.05
+
+
 def chunk(chunk_id, ids, texts):
     lens = np.array([len(t) for t in texts], "<i8")
     row = {"chunk_id": chunk_id, "n_docs": len(ids), "n_bytes": int(lens.sum()), "ids": np.array(ids, "<i8").tobytes(), "rows": np.array(ids, "<i8").tobytes(), "null_ids": bytes(len(ids)), "lens": lens.tobytes(), "blob": zstandard.ZstdCompressor().compress(b"".join(texts))}

@@ -34,8 +34,8 @@ from quern.llm.jaccard import mix, word_hashes
 
 #: Words of the longest n-gram; n-grams counted less often are unseen; weight of a step back.
 ORDER, MIN_COUNT, ALPHA = 3, 1, 0.4
-#: N-grams of one length in one task, about; text of a chunk. A chunk sends a row to each task and length, so rows grow with chunks x tasks.
-TASK_NGRAMS, LM_CHUNK_BYTES = 4_000_000, 8 << 20
+#: N-grams of one length in one task, about; text of a chunk, and of it what is hashed at once. A chunk sends a row to each task and length, so rows grow with chunks x tasks.
+TASK_NGRAMS, LM_CHUNK_BYTES, SLICE = 3_000_000, 8 << 20, 1 << 20
 
 _CHUNK = ("ids", "rows", "null_ids", "lens", "blob")
 DEALT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("numbers", T.BinaryType())])
@@ -55,7 +55,15 @@ def spread(b: bytes, kind: str, n: int, z) -> np.ndarray:
 
 def ngrams(c: Chunk, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """(hashes by length 1 .. order, document of each word); the n-gram at i ends with word i, and is 0 where the document is too short before it."""
-    word, doc = word_hashes([c.raw[a:z].decode("utf-8", "surrogatepass") for a, z in zip(c.off[:-1], c.off[1:], strict=True)])
+    # Some documents at once, as hashing takes 40 bytes a character on the way.
+    words, docs, a = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while a < len(c.lens):
+        z = max(a + 1, int(np.searchsorted(c.off, c.off[a] + SLICE, side="right")) - 1)
+        w, d = word_hashes([c.raw[c.off[i] : c.off[i + 1]].decode("utf-8", "surrogatepass") for i in range(a, z)])
+        words.append(w)
+        docs.append(d + a)
+        a = z
+    word, doc = np.concatenate(words), np.concatenate(docs)
     out = [mix(word + np.uint64(1)) | np.uint64(1)]
     for n in range(2, order + 1):
         h = np.zeros(len(word), np.uint64)

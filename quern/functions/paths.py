@@ -126,11 +126,21 @@ def escaped(name: Column) -> Column:
 
 
 # Suffixes of files that are compressed already.
-COMPRESSED_SUFFIXES = ["7z", "aac", "avi", "avif", "br", "bz2", "flac", "gif", "gz", "heic", "jpeg", "jpg", "lz", "lz4", "lzma", "m4a", "m4v", "mkv", "mov", "mp3", "mp4", "mpeg", "ogg", "opus", "png", "rar", "tbz2", "tgz", "txz", "webm", "webp", "xz", "zip", "zst"]
+COMPRESSED_SUFFIXES = [
+    "zip", "zipx", "gz", "tgz", "bz2", "tbz2", "tbz", "xz", "txz", "7z", "rar", "zst", "tzst", "lz4", "lz4a", "lz", "tlz", "lzma", "z", "br", "cab",
+    "lzfse", "lzfse.apple",
+    "jar", "war", "apk", "aab", "ipa", "xip", "whl", "nupkg", "epub", "docx", "xlsx", "pptx", "odt", "ods", "odp", "dmg", "pkg",
+    "mp4", "m4v", "mov", "mkv", "webm", "avi", "wmv", "flv", "mpg", "mpeg", "m2v", "m2ts", "mts", "3gp", "hevc", "h264", "h265",
+    "mp3", "aac", "m4a", "ogg", "oga", "opus", "flac", "wma",
+    "jpg", "jpeg", "png", "gif", "webp", "heic", "heif", "avif", "jxl",
+]
 
 
 def is_compressed(name: Column) -> Column:
-    return F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)).isin(COMPRESSED_SUFFIXES)
+    """By the name's suffix alone, whatever its case."""
+    low = F.lower(F.element_at(parts(name), -1))
+    last, two = F.regexp_extract(low, r"\.([^.]+)$", 1), F.regexp_extract(low, r"\.([^.]+\.[^.]+)$", 1)
+    return last.isin(COMPRESSED_SUFFIXES) | two.isin(COMPRESSED_SUFFIXES)
 
 
 def permitted_mode(mode: Column, umask: int, same_permissions: bool) -> Column:

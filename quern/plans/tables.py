@@ -18,30 +18,34 @@ _NAME = (
 )
 _TYPE = "case when event_id % 97 = 0 then '2' when event_id % 31 = 0 then '5' when event_id % 13 = 0 then '1' when event_id % 17 = 0 then '3' when event_id % 19 = 0 then '6' else '0' end"
 _LINK = "case when event_id % 97 = 0 or event_id % 13 = 0 then concat(" + _DIR.format(u="(user_id + 1)") + ", '/', event_type, '-', cast(user_id + 1 as string), '.log') end"
-_COLUMNS = [("archive", "event_type"), ("ordinal", "event_id"), ("name", _NAME), ("typeflag", _TYPE), ("linkname", _LINK), ("size", "event_id % 1000"), ("mode", "cast(event_id * 37 % 4096 as int)")]
+_COLUMNS = [("archive", "concat('a', cast(event_id % 5 as string))"), ("ordinal", "{div}"), ("name", _NAME), ("typeflag", _TYPE), ("linkname", _LINK), ("size", "event_id % 1000"), ("mode", "cast(event_id * 37 % 4096 as int)")]
 
-MEMBERS_SQL = "members AS (SELECT " + ", ".join(f"{e.replace('as string', 'as varchar')} AS {n}" for n, e in _COLUMNS) + ", epoch_us(ts) * 1000 AS mtime_ns FROM events)"
+MEMBERS_SQL = "members AS (SELECT " + ", ".join(f"{e.replace('as string', 'as varchar').replace('{div}', 'event_id // 5')} AS {n}" for n, e in _COLUMNS) + ", epoch_us(ts) * 1000 AS mtime_ns FROM events)"
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as members of five archives, in each of which ordinals start anew."""
     x = read(spark, sf_dir, "events")
-    return x.select(*[F.expr(e).alias(n) for n, e in _COLUMNS], (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") * 1000).alias("mtime_ns"))
+    return x.select(*[F.expr(e.replace("{div}", "event_id div 5")).alias(n) for n, e in _COLUMNS], (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") * 1000).alias("mtime_ns"))
 
 
-#: Frames of 5 x 4 RGB pixels out of embeddings; every 10th vector is a 4 x 5 frame.
+#: Frames of 11 x 2 RGB pixels out of whole embeddings, filled up with zeros; every 10th vector is a 2 x 11 frame.
 FRAMES_SQL = """frames AS (
-  SELECT label AS clip, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS frame_idx, CASE WHEN vec_id % 10 = 0 THEN 4 ELSE 5 END AS width,
-    CASE WHEN vec_id % 10 = 0 THEN 5 ELSE 4 END AS height, list_transform(embedding[1:60], lambda x: (floor(x::DOUBLE * {scale}) % 256 + 256)::INT % 256) AS pixels FROM embeddings
+  SELECT label AS clip, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS frame_idx, CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 11 END AS width,
+    CASE WHEN vec_id % 10 = 0 THEN 11 ELSE 2 END AS height, list_transform(list_resize(embedding, 66, 0), lambda x: (floor(x::DOUBLE * {scale}) % 256 + 256)::INT % 256) AS pixels FROM embeddings
 )"""
 
 
 def frames(spark: SparkSession, sf_dir: str, scale: int = 512) -> DataFrame:
-    """``scale``: how far values are spread; a small one makes equal neighbours."""
+    """``scale``: how far values are spread; a small one makes equal neighbours. Frames are numbered by their keys alone, pixels come by a join."""
     x = read(spark, sf_dir, "embeddings")
-    return x.select(
-        F.col("label").alias("clip"), F.expr("cast(row_number() over (partition by label order by vec_id) - 1 as int)").alias("frame_idx"),
-        F.expr("case when vec_id % 10 = 0 then 4 else 5 end").alias("width"), F.expr("case when vec_id % 10 = 0 then 5 else 4 end").alias("height"),
-        F.transform(F.slice("embedding", 1, 60), lambda v: F.pmod(F.floor(v.cast("double") * scale), F.lit(256)).cast("int")).alias("pixels"),
+    number = F.expr("cast(row_number() over (partition by label order by vec_id) - 1 as int)")
+    keys = x.select("vec_id", F.col("label").alias("clip"), number.alias("frame_idx"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(65)), lambda i: F.coalesce(F.get("embedding", i).cast("double"), F.lit(0.0)))
+    return keys.join(x.select("vec_id", "embedding"), "vec_id").select(
+        "clip", "frame_idx",
+        F.expr("case when vec_id % 10 = 0 then 2 else 11 end").alias("width"), F.expr("case when vec_id % 10 = 0 then 11 else 2 end").alias("height"),
+        F.transform(filled, lambda v: F.pmod(F.floor(v * scale), F.lit(256)).cast("int")).alias("pixels"),
     )
 
 

@@ -23,8 +23,9 @@ def test_entry(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     from pyspark.sql import functions as F
 
-    from quern.plans.tables import members
+    from quern.plans.tables import members, runs
 
-    plan = members(spark, SF).where(F.col("ordinal") > 5).select("name")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(event_id), GreaterThan(event_id,5)]" in plan
+    plan = runs(spark, SF).where(F.col("bytes") > 5).select("platform")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_extendedprice), GreaterThan(l_extendedprice,5.0)]" in plan and "l_quantity" not in plan
+    plan = members(spark, SF).select("name")._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan and "value" not in plan.split("ReadSchema")[1]

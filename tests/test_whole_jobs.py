@@ -22,7 +22,6 @@ def test_negated_set_matches_components(spark):
     assert {r.name for r in x.where(P.excluded(F.col("name"), ["[!a-s]*"])).collect()} == {"src/zz/a.txt", "src/de/1.txt", "tar"}
 
 
-def test_presets_are_those_of_the_reference():
-    """verifications/rgb1/swift_tar_DOE.swift, presetFlags."""
+def test_presets():
     predictive = ["ycocg", "med", "planar"]
     assert raster.PRESETS == {"raw": [], "palette": ["palette"], "predictive": predictive, "delta": ["delta"], "delta+predictive": ["delta", *predictive], "best": predictive}

@@ -59,20 +59,29 @@ def transform(frames: DataFrame, steps: list[str], order: str = "band") -> DataF
 
 
 def undo_predict_frame(a: np.ndarray, width: int, median: bool = True, channels: int = 3) -> np.ndarray:
-    """Each value needs its decoded neighbours, so rows go one by one and pixels in turn."""
+    """Each value needs its decoded neighbours to the left, above and between: so all pixels of an anti-diagonal are decoded at once.
+
+    Without the median a row needs itself alone: running sums, from the column of first pixels on.
+    """
     x = a.reshape(-1, width, channels).astype(np.int64)
+    if not x.size:
+        return a.astype(np.int64)
+    if not median:
+        first = np.cumsum(x[:, :1], axis=0)
+        return (np.concatenate([first, first + np.cumsum(x[:, 1:], axis=1)], axis=1) % 256).ravel()
+    height = len(x)
     out = np.zeros_like(x)
-    for y in range(x.shape[0]):
-        for i in range(width):
-            up = out[y - 1, i] if y else None
-            left = out[y, i - 1] if i else (up if y else np.zeros(channels, np.int64))
-            pred = left
-            if median:
-                b = up if y else left
-                c = out[y - 1, i - 1] if y and i else (left if y else b)
-                high, low = np.maximum(left, b), np.minimum(left, b)
-                pred = np.where(c >= high, low, np.where(c <= low, high, left + b - c))
-            out[y, i] = (x[y, i] + pred) % 256
+    out[0] = np.cumsum(x[0], axis=0) % 256
+    out[:, 0] = np.cumsum(x[:, 0], axis=0) % 256
+    for s in range(2, height + width - 1):
+        rows = np.arange(max(1, s - width + 1), min(height - 1, s - 1) + 1)
+        if not len(rows):
+            continue
+        cols = s - rows
+        left, up, corner = out[rows, cols - 1], out[rows - 1, cols], out[rows - 1, cols - 1]
+        high, low = np.maximum(left, up), np.minimum(left, up)
+        pred = np.where(corner >= high, low, np.where(corner <= low, high, left + up - corner))
+        out[rows, cols] = (x[rows, cols] + pred) % 256
     return out.ravel()
 
 

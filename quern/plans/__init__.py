@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import catalog, formats, metrics, raster
+from quern.plans import archives, catalog, formats, metrics, raster
 
-MODULES = (catalog, raster, metrics, formats)
+MODULES = (catalog, raster, metrics, formats, archives)
 
 
 def queries() -> dict:

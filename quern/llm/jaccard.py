@@ -3,12 +3,17 @@
 A text is the set of its shingles: ``n`` successive words (lower case, letters, digits and underscores); a text with fewer
 words is one shingle. Equal sets are one class with one representative. Band and row counts follow from the threshold and
 the recall that is asked for; classes meet on band hashes, and classes that meet, directly or through others, form a
-candidate group. Within a group all pairs are verified on the full shingle sets, so recall is above what banding alone
-gives. A large group is cut into blocks, and pairs of blocks are tasks; links are counted there and never become rows:
+candidate group. Pairs are verified on the full shingle sets, by whichever way moves less text: all pairs of a group (a group of true
+copies meets in nearly all of its pairs anyway), or, in a large group whose members hang together by chains, only the pairs that share a band,
+bucket by bucket, each pair in the first band that it shares; buckets with the same members count once. Both ways find
+every pair that shares a band, so recall is that of the banding or above, and no group costs more than its buckets do.
+
+Groups and buckets are cut into blocks, and pairs of blocks are tasks; links are counted there and never become rows:
 a task returns for each class how many documents it is linked to and one edge to a linked class, as a forest.
 
 Defined results: null counts as empty; texts without words have no links and are classes of their own; copies and
-repeated rows are linked to each other; a null doc_id comes before all others; an empty table gives no rows; other columns are not read.
+repeated rows are linked to each other; a null doc_id comes before all others; very long texts are one set like others; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from quern.llm.common import Scratch, arrow, chunks_of, even_join, whole_text
 from quern.llm.graph import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 160
-#: Classes of a candidate group that are verified in one block; shingle columns of one matrix product.
-BLOCK, COLUMNS = 256, 8192
+#: Classes that are verified in one block; shingle columns of one matrix product.
+BLOCK, COLUMNS = 128, 8192
 
 #: Stands for a null doc_id on the way.
 NO_ID = -(1 << 63)
@@ -221,32 +226,47 @@ def _forest(hit: np.ndarray, left: list[str], right: list[str]) -> dict[str, str
 
 
 def verify(groups: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Rows (cls, links, peer) from (comp, x, y, block, cls, copies, text): one group of rows for each pair of blocks x <= y."""
+    """Rows (cls, links, peer) from (unit, at, x, y, block, cls, copies, bands, text): one group of rows for each pair of blocks x <= y.
+
+    Where ``at`` is set the unit is the bucket of band ``at``, and pairs that share a band before it are left to that one.
+    """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         h, owner = shingles(list(f.text), n)
         cut = np.searchsorted(owner, np.arange(len(f) + 1))
         sets = [np.unique(h[cut[i] : cut[i + 1]]) for i in range(len(f))]
-        f = f.assign(at=range(len(f)))[[digest(s) == c for s, c in zip(sets, f.cls, strict=True)]].drop_duplicates("cls")
-        sets = [sets[i] for i in f["at"]]
+        f = f.assign(place=range(len(f)))[[digest(s) == c for s, c in zip(sets, f.cls, strict=True)]].drop_duplicates("cls")
+        sets = [sets[i] for i in f["place"]]
         names, copies = list(f.cls), f.copies.to_numpy(np.int64)
         first = (f.block == f.x).to_numpy()
+        at = int(f["at"].iloc[0]) if len(f) else -1
+        bands = np.array(f.bands.tolist(), np.int64).reshape(len(f), -1)[:, : max(0, at)] if at >= 0 else None
+
+        def here(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Pairs that are this unit's own."""
+            out = np.ones((len(a), len(b)), bool)
+            if bands is not None:
+                for k in range(bands.shape[1]):
+                    out &= bands[a, k][:, None] != bands[b, k][None, :]
+            return out
+
         rows: list[tuple] = []
         if (f.x == f.y).all():
-            hit = linked(sets, None, threshold)
+            every = np.arange(len(f))
+            hit = linked(sets, None, threshold) & here(every, every)
             np.fill_diagonal(hit, False)
             total = hit @ copies
             forest = _forest(np.tril(hit), names, names)
             rows = [(c, int(t), forest.get(c)) for c, t in zip(names, total, strict=True) if t]
         elif first.any() and not first.all():
             a, b = np.nonzero(first)[0], np.nonzero(~first)[0]
-            hit = linked([sets[i] for i in a], [sets[i] for i in b], threshold)
+            hit = linked([sets[i] for i in a], [sets[i] for i in b], threshold) & here(a, b)
             forest = _forest(hit, [names[i] for i in a], [names[i] for i in b])
             rows = [(names[i], int(t), forest.get(names[i])) for i, t in zip(a, hit @ copies[b], strict=True) if t]
             rows += [(names[i], int(t), forest.get(names[i])) for i, t in zip(b, hit.T @ copies[a], strict=True) if t]
         return pd.DataFrame(rows, columns=VERIFIED.names)
 
-    return groups.groupBy("comp", "x", "y").applyInPandas(run, VERIFIED)
+    return groups.groupBy("unit", "x", "y").applyInPandas(run, VERIFIED)
 
 
 def jaccard_join(docs: DataFrame, scratch: Scratch, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
@@ -257,23 +277,36 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, n: int = WORDS, threshold: f
     total = sk.count()
     classes = sk.groupBy("cls").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.max("bands").alias("bands"))
     classes = scratch.save(classes, "classes")
-    met = classes.where("size > 0").select("cls", F.explode("bands").alias("band"))
-    buckets = scratch.save(met.groupBy("band").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
+    met = classes.where("size > 0").select("cls", F.posexplode("bands").alias("at", "band"))
+    who = F.sum(F.xxhash64("cls").cast("decimal(38,0)"))
+    buckets = met.groupBy("band", "at").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("members"), who.alias("who")).where("members > 1")
+    buckets = scratch.save(buckets, "buckets")
     n_met = total * bands
     own = F.xxhash64("cls", "band", F.lit("own"))
-    edges = even_join(met, buckets, "band", "members", n_met, own).where(F.col("first").isNotNull() & (F.col("first") != F.col("cls")))
+    edges = even_join(met.select("cls", "band"), buckets.select("band", "first", "members"), "band", "members", n_met, own).where(F.col("first").isNotNull() & (F.col("first") != F.col("cls")))
     comps = scratch.save(components(edges.select(F.col("cls").alias("u"), F.col("first").alias("v")), scratch, "met"), "met")
+    cost = lambda m: m * F.ceil(m / BLOCK)  # noqa: E731  members that travel
     sizes = comps.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    n_comps = comps.count()
-    member = even_join(comps, sizes, "label", "members", n_comps, F.concat(F.lit("~"), F.col("node")))
-    member = member.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    member = member.join(classes.select(F.col("cls").alias("node"), "copy_id", "copies").hint("merge"), "node").select(F.col("node").alias("cls"), F.col("label").alias("comp"), "block", "blocks", "copy_id", "copies")
-    member = scratch.save(member, "members")
+    # Of buckets with the same members the first band's stays: it is the first that any two of them share.
+    kept = buckets.groupBy("first", "members", "who").agg(F.min(F.struct("at", "band")).alias("b")).select("first", "members", "b.at", "b.band")
+    by_band = kept.join(comps.withColumnRenamed("node", "first").hint("merge"), "first").groupBy("label").agg(F.sum(cost(F.col("members"))).alias("by_band"))
+    sizes = sizes.join(by_band.hint("merge"), "label").select("label", "members", (F.col("by_band") < cost(F.col("members"))).alias("banded"))
+    sizes = scratch.save(sizes, "sizes")
+    member = even_join(comps, sizes, "label", "members", sizes.agg(F.sum("members")).first()[0] or 0, F.concat(F.lit("~"), F.col("node")))
+    member = member.join(classes.select(F.col("cls").alias("node"), "copy_id", "copies", "bands").hint("merge"), "node").withColumnRenamed("node", "cls")
+    no_bands = F.lit(None).cast("array<long>")
+    units = member.where(~F.col("banded")).select("cls", F.col("label").alias("unit"), F.lit(-1).alias("at"), "members", no_bands.alias("bands"), "copy_id", "copies")
+    if not sizes.where("banded").isEmpty():
+        chained = member.where("banded").select("cls", "copy_id", "copies", "bands", F.posexplode("bands").alias("_at", "band"))
+        chained = even_join(chained, kept.select("band", "at", "members"), "band", "members", n_met, own).where("at is not null")
+        units = units.unionByName(chained.select("cls", F.concat_ws(":", "at", "band").alias("unit"), "at", "members", "bands", "copy_id", "copies"))
+    units = units.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int")).drop("members")
+    units = scratch.save(units, "units")
     # The text of one document a class; where rows share a doc_id, verify() takes the one whose shingles are the class's.
     # By sort-merge at every size: a broadcast of few members would make plans differ between sizes.
-    own_text = docs.join(member.withColumnRenamed("copy_id", "doc_id").hint("merge"), "doc_id").select("comp", "block", "blocks", "cls", "copies", "text")
+    own_text = docs.join(units.withColumnRenamed("copy_id", "doc_id").hint("merge"), "doc_id").select("unit", "at", "block", "blocks", "cls", "copies", "bands", "text")
     pairs = own_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "copies", "text")
+    pairs = pairs.select("unit", "at", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "copies", "bands", "text")
     found = scratch.save(verify(pairs, n, threshold), "verified")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     same = components(found.where("peer is not null").select(F.col("cls").alias("u"), F.col("peer").alias("v")), scratch, "linked")

@@ -273,6 +273,31 @@ def test_blocks_of_a_large_group(spark, scratch, monkeypatch):
     assert got == {k: v for (k, _), v in zip(rows, brute.links(rows), strict=True)}
 
 
+def test_chains_are_verified_by_bands(spark, scratch, monkeypatch):
+    """Texts that drift: neighbours are alike, ends aren't, and all hang together."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    seen = []
+    was = jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda g, *a: (seen.append(g.select("unit", "at").distinct().collect()), was(g, *a))[1])
+    words = [f"w{i}" for i in range(1200)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 200])) for i in range(150)] + [(500, " ".join(words[60:260]))]
+    got = {v.doc_id: (v.class_id, v.n_links) for v in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert any(r["at"] >= 0 for r in seen[0])
+    assert got == {k: (rows[v[0]][0], v[1]) for (k, _), v in zip(rows, brute.links(rows), strict=True)}
+
+
+def test_op6_recall_on_the_table(spark, capsys):
+    """Share of the linked pairs' documents whose numbers of links are those of brute force."""
+    x = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in x.collect())
+    want = {k: v[1] for (k, _), v in zip(rows, brute.links(rows), strict=True)}
+    got = {r.doc_id: r.n_links for r in queries.op6_ngram_jaccard_join(spark, SF).collect()}
+    recall = sum(got.values()) / max(1, sum(want.values()))
+    with capsys.disabled():
+        print(f"\nrecall of links: {recall:.4f}")
+    assert 0.99 <= recall <= 1 and all(got[k] <= want[k] for k in want)
+
+
 def test_bands_reach_their_recall():
     b, r = jaccard.bands_for(0.8, 0.999, 160)
     assert b * r <= 160 and 1 - (1 - 0.8**r) ** b >= 0.999

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,7 @@ def chunk_store(docs: DataFrame, limit: int = CHUNK_BYTES, row: str | None = Non
             yield pa.RecordBatch.from_pydict(row, schema=arrow(CHUNK_SCHEMA))
 
     keys = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col(row or "doc_id").cast("long").alias("row"))
-    return docs.select(keys.alias("keys"), whole_text().alias("text")).mapInArrow(pack, CHUNK_SCHEMA)
+    return docs.select(keys.alias("keys"), whole_text().alias("text")).mapInArrow(lean_batches(pack), CHUNK_SCHEMA)
 
 
 def arrow(schema: T.StructType) -> pa.Schema:
@@ -139,6 +140,46 @@ class Chunk:
         return [None if n else int(x) for x, n in zip(self.ids, self.null, strict=True)]
 
 
+def release() -> None:
+    """Give memory that is free inside this process back to the system: workers are kept for tasks of later stages, which share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean_batches(run: Callable) -> Callable:
+    """A function of an iterator of batches that ends with ``release()``."""
+
+    def task(batches):
+        yield from run(batches)
+        release()
+
+    return task
+
+
+def lean_frame(run: Callable) -> Callable:
+    """A function of one group that ends with ``release()``: for groups that are large and few."""
+
+    def task(f):
+        out = run(f)
+        release()
+        return out
+
+    return task
+
+
+def lean_frames(run: Callable) -> Callable:
+    """As ``lean_frame``, for two groups side by side."""
+
+    def task(f, g):
+        out = run(f, g)
+        release()
+        return out
+
+    return task
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(2, SparkContext.getOrCreate().defaultParallelism) if spark else 2
 

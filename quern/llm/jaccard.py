@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Scratch, arrow, chunks_of, even_join, whole_text
+from quern.llm.common import Scratch, arrow, chunks_of, even_join, lean_batches, whole_text
 from quern.llm.graph import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 160
@@ -173,7 +173,7 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     size.append(0)
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "cls": cls, "size": size, "bands": [band_of.get(i, []) for i in range(len(ids))]}, schema=arrow(SKETCH))
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.mapInArrow(lean_batches(run), SKETCH)
 
 
 def linked(sets: list[np.ndarray], others: list[np.ndarray] | None, threshold: float) -> np.ndarray:

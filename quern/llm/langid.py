@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import arrow
+from quern.llm.common import arrow, lean_batches
 
 SLOTS_LOG = 16
 MAX_N = 3
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=arrow(PREDICTED))
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return x.mapInArrow(run, PREDICTED)
+    return x.mapInArrow(lean_batches(run), PREDICTED)
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -191,4 +191,4 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
             yield b.filter(pa.array(told, pa.bool_()))
 
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean_batches(run), docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.bpe import codec
-from quern.llm.common import Scratch, arrow
+from quern.llm.common import Scratch, arrow, lean_batches
 
 SEQUENCE = 1024
 END_ID = 2
@@ -95,7 +95,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, end_id:
                     rows.append((k, i, a, n, zlib.crc32(part), part if with_ids else None))
             yield pa.RecordBatch.from_pydict(dict(zip(PIECES.names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in PIECES.names}, schema=arrow(PIECES))
 
-    out = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECES)
+    out = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean_batches(run), PIECES)
     return out if with_ids else out.drop("ids")
 
 

@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Chunk, Scratch, arrow, chunk_store
+from quern.llm.common import Chunk, Scratch, arrow, chunk_store, lean_batches, lean_frame, lean_frames
 from quern.llm.jaccard import mix, powers
 
 WINDOW, K = 100, 48
 #: Anchors of one task, bytes of contexts of one task and of one suffix sort, contexts of an anchor beyond which it is split, bytes that are hashed at once.
-TASK_ANCHORS, TASK_BYTES, SORT_BYTES, HOT_CONTEXTS, SLICE = 600_000, 8 << 20, 1 << 19, 4000, 1 << 21
+TASK_ANCHORS, TASK_BYTES, SORT_BYTES, HOT_CONTEXTS, SLICE = 600_000, 8 << 20, 1 << 19, 4000, 1 << 19
 
 _PLACE_BITS = np.uint64(23)
 
@@ -371,12 +371,12 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: int
     n_bytes = store.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(2, -(-int(n_bytes * 2.2 / (window - k + 2)) // TASK_ANCHORS))
     chunk_cols = store.select("chunk_id", *_CHUNK)
-    dealt = chunk_cols.mapInArrow(_deal(buckets, window, k, slice_bytes), DEALT)
-    settled = scratch.save(dealt.groupBy("bucket").applyInPandas(_settle(hot_contexts), SETTLED), "settled")
+    dealt = chunk_cols.mapInArrow(lean_batches(_deal(buckets, window, k, slice_bytes)), DEALT)
+    settled = scratch.save(dealt.groupBy("bucket").applyInPandas(lean_frame(_settle(hot_contexts)), SETTLED), "settled")
     n_open = settled.agg(F.sum("n_open")).first()[0] or 0
     open_buckets = max(2, -(-n_open * (window + 30) // TASK_BYTES))
     asked = settled.where("n_open > 0").select("chunk_id", "open_anchor", "open_start", "open_many", "open_hot")
-    opened = chunk_cols.groupBy("chunk_id").cogroup(asked.groupBy("chunk_id")).applyInPandas(_open(open_buckets, window), OPEN)
-    gone = scratch.save(opened.groupBy("bucket").applyInPandas(_sort(window, sort_bytes), GONE), "gone")
+    opened = chunk_cols.groupBy("chunk_id").cogroup(asked.groupBy("chunk_id")).applyInPandas(lean_frames(_open(open_buckets, window)), OPEN)
+    gone = scratch.save(opened.groupBy("bucket").applyInPandas(lean_frame(_sort(window, sort_bytes)), GONE), "gone")
     gone = gone.unionByName(settled.select("chunk_id", "gone_start", "gone_many"))
-    return chunk_cols.groupBy("chunk_id").cogroup(gone.groupBy("chunk_id")).applyInPandas(_cut(window, with_text), CUT)
+    return chunk_cols.groupBy("chunk_id").cogroup(gone.groupBy("chunk_id")).applyInPandas(lean_frames(_cut(window, with_text)), CUT)

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: A chunk of documents that is worked on at once holds about this much text.
 CHUNK_BYTES = 4 << 20
+#: Short rows (keys, counts) in a file of a scratch table whose size is known.
+FILE_ROWS = 1 << 15
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,8 +36,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex[:12]}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+        """``rows``: about how many short rows there are at most; few don't go into many files, each of which costs the file system's calls."""
         path = f"{self.root}/{name}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         df.write.mode("errorifexists").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

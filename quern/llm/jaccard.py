@@ -276,22 +276,22 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, n: int = WORDS, threshold: f
     sk = scratch.save(sketches(docs, n, bands, rows), "sketches")
     total = sk.count()
     classes = sk.groupBy("cls").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.max("bands").alias("bands"))
-    classes = scratch.save(classes, "classes")
+    classes = scratch.save(classes, "classes", rows=total)
     met = classes.where("size > 0").select("cls", F.posexplode("bands").alias("at", "band"))
     who = F.sum(F.xxhash64("cls").cast("decimal(38,0)"))
     buckets = met.groupBy("band", "at").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("members"), who.alias("who")).where("members > 1")
-    buckets = scratch.save(buckets, "buckets")
     n_met = total * bands
+    buckets = scratch.save(buckets, "buckets", rows=n_met // 2)
     own = F.xxhash64("cls", "band", F.lit("own"))
     edges = even_join(met.select("cls", "band"), buckets.select("band", "first", "members"), "band", "members", n_met, own).where(F.col("first").isNotNull() & (F.col("first") != F.col("cls")))
-    comps = scratch.save(components(edges.select(F.col("cls").alias("u"), F.col("first").alias("v")), scratch, "met"), "met")
+    comps = scratch.save(components(edges.select(F.col("cls").alias("u"), F.col("first").alias("v")), scratch, "met", rows=n_met), "met", rows=total)
     cost = lambda m: m * F.ceil(m / BLOCK)  # noqa: E731  members that travel
     sizes = comps.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     # Of buckets with the same members the first band's stays: it is the first that any two of them share.
     kept = buckets.groupBy("first", "members", "who").agg(F.min(F.struct("at", "band")).alias("b")).select("first", "members", "b.at", "b.band")
     by_band = kept.join(comps.withColumnRenamed("node", "first").hint("merge"), "first").groupBy("label").agg(F.sum(cost(F.col("members"))).alias("by_band"))
     sizes = sizes.join(by_band.hint("merge"), "label").select("label", "members", (F.col("by_band") < cost(F.col("members"))).alias("banded"))
-    sizes = scratch.save(sizes, "sizes")
+    sizes = scratch.save(sizes, "sizes", rows=total // 2)
     member = even_join(comps, sizes, "label", "members", sizes.agg(F.sum("members")).first()[0] or 0, F.concat(F.lit("~"), F.col("node")))
     member = member.join(classes.select(F.col("cls").alias("node"), "copy_id", "copies", "bands").hint("merge"), "node").withColumnRenamed("node", "cls")
     no_bands = F.lit(None).cast("array<long>")
@@ -309,9 +309,9 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, n: int = WORDS, threshold: f
     pairs = pairs.select("unit", "at", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "copies", "bands", "text")
     found = scratch.save(verify(pairs, n, threshold), "verified")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    same = components(found.where("peer is not null").select(F.col("cls").alias("u"), F.col("peer").alias("v")), scratch, "linked")
+    same = components(found.where("peer is not null").select(F.col("cls").alias("u"), F.col("peer").alias("v")), scratch, "linked", rows=n_met)
     known = classes.select("cls", "copy_id", "copies").join(links.hint("merge"), "cls", "left").join(same.withColumnRenamed("node", "cls").hint("merge"), "cls", "left")
-    known = scratch.save(known.withColumn("label", F.coalesce("label", "cls")), "known")
+    known = scratch.save(known.withColumn("label", F.coalesce("label", "cls")), "known", rows=total)
     least = known.groupBy("label").agg(F.min("copy_id").alias("class_id"), F.sum("copies").alias("members"))
     known = even_join(known, least, "label", "members", total, F.concat(F.lit("~"), F.col("cls")))
     known = known.select("cls", "copy_id", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
